@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.text import LOWER, Texts, chunks
+from mergeloom.llm.text import LOWER, Texts, chunks, gather
 from mergeloom.operators.components import components
 from mergeloom.runtime import written
 
@@ -43,11 +43,7 @@ def shingle_fingerprints(column: pa.Array, width: int) -> np.ndarray:
     for i, j, data, offsets in chunks(column):
         texts = Texts(LOWER[data], offsets)
         # The words with one space after each; shingles are slices of it.
-        length = texts.end - texts.start + 1
-        begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
-        source = np.repeat(texts.start - begin[:-1], length) + np.arange(begin[-1])
-        spaced = np.append(texts.data, np.uint8(32))[np.minimum(source, len(texts.data))]
-        spaced[begin[1:] - 1] = 32
+        spaced, begin = gather(texts.data, texts.start, texts.end, after=b" ")
         spaced = spaced.tobytes()
         first = texts.first
         last_start = np.maximum(first[1:] - width, first[:-1])  # of the last shingle

@@ -55,11 +55,11 @@ class RollingHash:
 class Texts:
     """Some whole texts: their bytes, where each begins, and their words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
-        word = ~SPACE[data]
+        word = ~space[data]
         before = np.concatenate((np.zeros(1, bool), word[:-1])) & ~edge[:-1] if len(data) else word
         after = np.concatenate((word[1:], np.zeros(1, bool))) & ~edge[1:] if len(data) else word
         self.start = np.flatnonzero(word & ~before)
@@ -68,10 +68,30 @@ class Texts:
         #: words of text i are first[i] to first[i + 1]
         self.first = np.searchsorted(self.start, offsets)
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, an occurrence) of each distinct word, and which of them each word is."""
+        hashes = RollingHash(self.data)(self.start, self.end)
+        return np.unique(hashes, return_index=True, return_inverse=True)
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
 
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray, before: bytes = b"", after: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of data one after another, each between before and after; and where each begins."""
+    length = end - start + len(before) + len(after)
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
+    if not len(start):
+        return np.zeros(0, np.uint8), offsets
+    at = np.repeat(start - len(before) - offsets[:-1], length) + np.arange(offsets[-1])
+    out = data[np.clip(at, 0, len(data) - 1)]
+    for i, b in enumerate(before):
+        out[offsets[:-1] + i] = b
+    for i, b in enumerate(after[::-1]):
+        out[offsets[1:] - 1 - i] = b
+    return out, offsets
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
