@@ -13,6 +13,16 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def labelled_ids(labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
+    """(doc_id, y) of up to per_class rows of each class, 0 and 1: those of the least xxhash64(doc_id).
+
+    A doc_id labelled both ways is in both classes.
+    """
+    known = labels.select("doc_id", F.col(label).alias("y")).where(learn & F.col("doc_id").isNotNull())
+    first = [known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    return first[0].union(first[1])
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_bytes: int
 ) -> tuple[pa.ChunkedArray, np.ndarray]:
@@ -21,11 +31,7 @@ def labelled_sample(
     learn: a condition on doc_id.  Texts over max_bytes are left out, so that the
     driver holds at most 2 x per_class x max_bytes.  Rows that repeat a doc_id count once.
     """
-    known = labels.select("doc_id", F.col(label).alias("y")).where(learn & F.col("doc_id").isNotNull())
-    ids = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        ids = part if ids is None else ids.union(part)
+    ids = labelled_ids(labels, label, learn, per_class)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
     found = texts.join(F.broadcast(ids), "doc_id")  # 2 x per_class rows of two numbers
     table = found.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
