@@ -58,8 +58,8 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets_log2:
         words.append(np.repeat(np.arange(len(start)), count))
         starts.append(at)
         ends.append(at + n)
-    word = np.concatenate(words)
-    bucket = (rolled(np.concatenate(starts), np.concatenate(ends)) >> np.uint64(64 - buckets_log2)).astype(np.int64)
+    word = np.concatenate(words).astype(np.int32)
+    bucket = (rolled(np.concatenate(starts), np.concatenate(ends)) >> np.uint64(64 - buckets_log2)).astype(np.int32)
     order = np.argsort(word, kind="stable")
     return bucket[order], np.searchsorted(word[order], np.arange(len(start) + 1))
 
@@ -91,7 +91,7 @@ def train(column: pa.Array, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
         return np.zeros(size, np.float32), -20.0
     # The sample's distinct words over all its chunks, and each document's words in order.
     at, hashes, data, spans, docs = 0, [], [], [], []
-    for i, j, raw, offsets in chunks(column, 8 << 20):
+    for i, j, raw, offsets in chunks(column):
         texts = Texts(LOWER[raw], offsets, ENDS)
         h, one, which = texts.distinct()
         part, begin = gather(texts.data, texts.start[one], texts.end[one])
@@ -99,12 +99,20 @@ def train(column: pa.Array, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
         spans.append(np.stack((begin[:-1] + at, begin[1:] + at)))
         at += len(part)
         hashes.append(h)
+        which = which.astype(np.int32)
         docs += [(len(hashes) - 1, which[texts.first[k] : texts.first[k + 1]]) for k in range(j - i)]
     data, spans = np.concatenate(data), np.concatenate(spans, axis=1)
     base = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
     _, one, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    docs = [which[base[c] + w] for c, w in docs]
-    bucket, first = subwords(data, spans[0, one], spans[1, one], s.buckets_log2)
+    which = which.astype(np.int32)
+    docs = [which[base[c] : base[c + 1]][w] for c, w in docs]
+    bags, first = [], [np.zeros(1, np.int64)]
+    for i in range(0, len(one), 1 << 15):  # some words at a time: their n-grams take far more room than the bags
+        part, begin = subwords(data, *spans[:, one[i : i + (1 << 15)]], s.buckets_log2)
+        first.append(begin[1:] + first[-1][-1])
+        bags.append(part)
+    bucket, first = np.concatenate(bags), np.concatenate(first)
+    del data, spans, hashes, bags
     seen = np.zeros((len(one), 2))
     for words, label in zip(docs, y):
         seen[np.unique(words), label] += 1
@@ -134,8 +142,10 @@ def train(column: pa.Array, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
         p /= p.sum(axis=1, keepdims=True)
         g = (p - np.stack((1 - target, target), axis=1)) * (weights / weights.sum())[:, None]
         to_mean = (g @ softmax.T) / n[:, None]
-        to_item = np.repeat(np.repeat(to_mean, n, axis=0) / length[:, None], length, axis=0)
-        to_table = np.stack([np.bincount(item, to_item[:, k], size) for k in range(s.dim)], axis=1).astype(np.float32)
+        to_word = np.repeat(to_mean, n, axis=0) / length[:, None]
+        to_table = np.empty_like(table)
+        for k in range(s.dim):
+            to_table[:, k] = np.bincount(item, np.repeat(to_word[:, k], length), size)
         adam.t += 1
         adam("softmax", softmax, (mean.T @ g).astype(np.float32))
         adam("bias", bias, g.sum(axis=0).astype(np.float32))
