@@ -44,13 +44,15 @@ class Settings:
     max_bytes: int = 200_000
 
 
-def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets_log2: int) -> tuple[np.ndarray, np.ndarray]:
+def subwords(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray, buckets_log2: int, ngrams: tuple[int, ...] = NGRAMS
+) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's bag, word by word, and where each bag begins."""
     marked, offsets = gather(data, start, end, b"<", b">")
     rolled = RollingHash(marked)
     words, starts, ends = [np.arange(len(start))], [offsets[:-1]], [offsets[1:]]
     length = np.diff(offsets)
-    for n in NGRAMS:
+    for n in ngrams:
         count = np.maximum(length - n + 1, 0)
         count[length == n] = 0  # that is the word itself
         first = np.repeat(offsets[:-1] - np.concatenate((np.zeros(1, np.int64), np.cumsum(count)[:-1])), count) if len(count) else count
