@@ -1,4 +1,4 @@
-"""Column profiles: one aggregate over a table, whatever its number of columns."""
+"""Column profiles: one aggregate over the cells of a table, whatever its number of columns."""
 
 from __future__ import annotations
 
@@ -49,35 +49,25 @@ def _moment(text: Column) -> Column:
     return F.when(text.rlike(whole(DATE_PATTERNS["iso_date"])), iso).otherwise(to_date(text).cast("timestamp_ntz"))
 
 
-def _of_column(name: str, kind: T.DataType, n: int) -> Column:
-    """Everything about a column, as one struct of aggregates."""
-    cell = F.col(f"`{name}`")
-    if isinstance(kind, T.StringType):
-        cell = F.when(~cell.isin(*NA_WORDS), cell)
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        cell = F.when(~F.isnan(cell), cell)
-    text = bare(cell.cast("string"))
-    compact = F.translate(text, "  ", "")
-    typed_bool, typed_number = isinstance(kind, T.BooleanType), isinstance(kind, T.NumericType)
-    typed_date = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
-    moment = cell.cast("timestamp_ntz") if typed_date else _moment(text)
-    date_label = F.when(cell.isNotNull(), "excel_date") if typed_date else F.when(moment.isNotNull(), _label(text, DATE_PATTERNS))
-    number_label = F.when(cell.isNotNull(), "numeric") if typed_number else _label(compact, NUMBER_PATTERNS)
-    number = cell.cast("double") if typed_number else F.when(number_label.isNotNull(), plain_number(compact).try_cast("double"))
-    position = F.col("__at")
-    return F.struct(
-        F.count("*").alias("rows"), F.count(cell).alias("filled"), F.count_distinct(cell).alias("unique_count"),
-        # The first cells with a value: the least positions, n at most in any task's state.
-        *[F.min_by(cell.cast("string"), position).alias("first")] if n == 1 else
-        [F.slice(F.sort_array(F.collect_list(F.when(cell.isNotNull() & (position < F.col("__head")), F.struct(position.alias("at"), cell.cast("string").alias("v"))))), 1, n).alias("first")],
-        F.coalesce(F.bool_and(F.lit(typed_bool) | (F.lower(text).isin(*BOOLEAN_WORDS) & F.lit(not typed_number and not typed_date))), F.lit(False)).alias("boolean"),
-        F.coalesce(F.bool_and(F.when(cell.isNotNull(), date_label.isNotNull() & F.lit(not typed_bool and not typed_number))), F.lit(False)).alias("date"),
-        F.coalesce(F.bool_and(F.when(cell.isNotNull(), number_label.isNotNull() & F.lit(not typed_bool and not typed_date))), F.lit(False)).alias("number"),
-        F.coalesce(F.bool_and(number == F.floor(number)), F.lit(False)).alias("whole"),
-        F.collect_set(date_label).alias("date_labels"), F.collect_set(number_label).alias("number_labels"),
-        F.min(moment).alias("first_date"), F.max(moment).alias("last_date"), F.min(number).alias("least"), F.max(number).alias("most"),
-        F.lit(typed_bool).alias("typed_bool"),
-    ).alias(name)
+def _cells(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """(at, i, kind, cell): every cell as text, NULL if missing; kind is bool, number, date or text."""
+    at = F.col("_row_idx") if "_row_idx" in df.columns else F.monotonically_increasing_id()
+    numbered = df.withColumn("__at", at.cast("long"))
+    rows = []
+    for i, f in enumerate(fields):
+        c, k = F.col(f"`{f.name}`"), f.dataType
+        kind = "bool" if isinstance(k, T.BooleanType) else "number" if isinstance(k, T.NumericType) else "text"
+        cell = c.cast("string")
+        if isinstance(k, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            kind, cell = "date", c.cast("timestamp_ntz").cast("string")
+        elif isinstance(k, T.StringType):
+            cell = F.when(~c.isin(*NA_WORDS), c)
+        elif isinstance(k, (T.DoubleType, T.FloatType)):
+            cell = F.when(~F.isnan(c), cell)
+        elif isinstance(k, (T.ArrayType, T.MapType, T.StructType)):
+            cell = F.to_json(c)
+        rows.append(F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), cell.alias("cell")))
+    return numbered.select(F.col("__at").alias("at"), F.inline(F.array(*rows)))
 
 
 def profile_table(df: DataFrame, name: str, sample_size: int = 5, head_rows: int = 10_000) -> DataFrame:
@@ -88,25 +78,48 @@ def profile_table(df: DataFrame, name: str, sample_size: int = 5, head_rows: int
     if sample_size < 1:
         raise ValueError("sample_size must be at least 1")
     fields = [f for f in df.schema.fields if f.name != "_row_idx"]
-    at = F.col("_row_idx") if "_row_idx" in df.columns else F.monotonically_increasing_id()
-    numbered = df.withColumns({"__at": at.cast("long"), "__head": F.lit(head_rows).cast("long")})
-    wide = numbered.agg(*[_of_column(f.name, f.dataType, max(2, sample_size)) for f in fields])
-    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("name"), F.col(f"`{f.name}`").alias("p")) for i, f in enumerate(fields)])))
+    cell, kind = F.col("cell"), F.col("kind")
+    cells = _cells(df, fields).withColumn("text", bare(cell)).withColumn("compact", F.translate("text", "\u00a0 ", ""))
+    cells = cells.withColumns({
+        "moment": F.when(kind == "date", F.col("text").try_cast("timestamp_ntz")).when(kind == "text", _moment(F.col("text"))),
+        "number_label": F.when(kind == "number", F.when(cell.isNotNull(), "numeric")).when(kind == "text", _label(F.col("compact"), NUMBER_PATTERNS)),
+    }).withColumns({
+        "date_label": F.when(kind == "date", F.when(cell.isNotNull(), "excel_date")).when(F.col("moment").isNotNull(), _label(F.col("text"), DATE_PATTERNS)),
+        "number": F.when(kind == "number", cell.try_cast("double")).when(F.col("number_label").isNotNull(), plain_number(F.col("compact")).try_cast("double")),
+        "yes_no": (kind == "bool") | ((kind == "text") & F.lower("text").isin(*BOOLEAN_WORDS)),
+    })
+    there = cell.isNotNull()
+    every = lambda c: F.coalesce(F.bool_and(F.when(there, c)), F.lit(False))
+    shown_cell = F.when(kind == "date", F.replace(cell, F.lit(" "), F.lit("T"))).otherwise(cell)
+    head = _cells(df.limit(head_rows), fields).where(there).groupBy("i").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("at", shown_cell.alias("v")))), 1, sample_size).alias("first")
+    )
+    by_column = cells.groupBy("i").agg(
+        F.count("*").alias("rows"), F.count(cell).alias("filled"), F.count_distinct(cell).alias("unique_count"),
+        every(F.col("yes_no")).alias("boolean"), every(F.col("date_label").isNotNull()).alias("date"),
+        every(F.col("number_label").isNotNull()).alias("number"), every(F.col("number") == F.floor("number")).alias("whole"),
+        F.collect_set("date_label").alias("date_labels"), F.collect_set("number_label").alias("number_labels"),
+        F.min("moment").alias("first_date"), F.max("moment").alias("last_date"), F.min("number").alias("least"), F.max("number").alias("most"),
+        F.bool_or(kind == "bool").alias("typed_bool"),
+    )
+    named = F.broadcast(df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(fields)], "i int, name string"))
+    # From the names, so that a table without rows has profiles too.
+    rows = named.join(by_column, "i", "left").fillna(0, ["rows", "filled", "unique_count"]).withColumn("p", F.struct(*by_column.columns[1:])).join(head, "i", "left")
     one = lambda labels, mixed: F.when(F.size(labels) == 1, labels[0]).otherwise(mixed)
     p = F.col("p")
-    kind = (
+    found = (
         F.when(p["filled"] == 0, "string").when(p["boolean"], "boolean").when(p["date"], "date")
         .when(p["number"] & p["whole"], "integer").when(p["number"], "decimal").otherwise("string")
     )
-    rows = rows.withColumn("inferred_type", kind)
+    rows = rows.withColumn("inferred_type", found)
     k = F.col("inferred_type")
     day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     shown = lambda c: F.when(k == "integer", F.col(f"p.{c}").cast("decimal(38,0)").cast("string")).when(k == "decimal", F.col(f"p.{c}").cast("string"))
     return rows.orderBy("i").select(
         F.lit(name).alias("table"), "name", "inferred_type",
-        F.transform(F.slice(p["first"], 1, sample_size), lambda x: x["v"]).alias("samples"),
+        F.coalesce(F.transform("first", lambda x: x["v"]), F.array().cast("array<string>")).alias("samples"),
         p["unique_count"].alias("unique_count"),
-        F.when(p["rows"] == 0, 0.0).otherwise(1 - p["filled"] / p["rows"]).alias("null_ratio"),
+        F.when(p["rows"] == 0, 0.0).otherwise((p["rows"] - p["filled"]) / p["rows"]).alias("null_ratio"),
         F.when(k == "date", day(p["first_date"])).otherwise(shown("least")).alias("min"),
         F.when(k == "date", day(p["last_date"])).otherwise(shown("most")).alias("max"),
         F.when(k == "boolean", F.when(p["filled"] == 0, None).when(p["typed_bool"], "boolean").otherwise("boolean_text"))
