@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, most: int = 2, shapes: dict = SHAPES, **shares)
     next to each other in the order.  Columns of docs with the names above are
     replaced, others pass.  An empty table gives an empty table.
     """
-    added = ("size", "source_size", "target", "copies", "taken", "positions", "weight")
+    added = ("size", "source_size", "target", "copies", "taken", "positions")
     sized = _with_key(docs.drop(*added)).withColumns({
         "size": word_count(F.col("text")),
         "__key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
@@ -113,7 +113,8 @@ def mix_sources(docs: DataFrame, most: int = 2, shapes: dict = SHAPES, **shares)
     upto = Window.partitionBy("__src").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cell = cell.withColumn("__offset", F.coalesce(F.sum("__sum").over(upto), F.lit(0)))
     sizes = cell.groupBy("__src", "source").agg(F.sum("__sum").alias("source_size"))
-    targets = written(_with_key(source_targets(sizes.drop("__src"), most=most, **shares)).drop("source"), "targets")
+    targets = _with_key(source_targets(sizes.drop("__src"), most=most, **shares)).drop("source")
+    targets = written(targets.withColumnRenamed("weight", "__weight"), "targets")
     within = Window.partitionBy("__src", "__cell").orderBy("__key", "__text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumns({"__cell": F.shiftright(head, 28), "__text_hash": F.xxhash64("text")})
     placed = placed.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -125,7 +126,7 @@ def mix_sources(docs: DataFrame, most: int = 2, shapes: dict = SHAPES, **shares)
     )
     shape = F.lit(None)
     for weight, knots in shapes.items():
-        shape = F.when(F.col("weight") == weight, F.array(*map(F.lit, knots))).otherwise(shape)
+        shape = F.when(F.col("__weight") == weight, F.array(*map(F.lit, knots))).otherwise(shape)
     placed = placed.withColumns({"copies": copies.cast("int"), "__middle": middle, "__shape": F.coalesce(shape, F.array(F.lit(1.0), F.lit(1.0)))})
     placed = placed.withColumns({
         "taken": F.col("copies") * F.col("size"),
