@@ -55,23 +55,28 @@ class _Bounded(dict):
 
 class TokenAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", cached: int = 400_000):
-        self.vocab, self.suffix = vocab, suffix
+        self.suffix = suffix
         self.label = {i: s for s, i in vocab.items()}
-        #: three letters -> the length of the longest token that begins with them
-        self.reach: dict[str, int] = {}
-        for s in vocab:
-            if len(s) >= 3:
-                self.reach[s[:3]] = max(len(s), self.reach.get(s[:3], 0))
         #: (u << 20 | v) -> the merge that cut the arc v from the state of u
         self.cut: dict[int, int] = {}
         #: w -> (u, v, merge)
         self.made: dict[int, tuple[int, int, int]] = {}
-        for at, (left, right) in enumerate(merges):
-            u, v, w = vocab[left], vocab[right], vocab[left + right]
-            self.cut.setdefault(u << 20 | v, at)
-            self.made.setdefault(w, (u, v, at))
         self.state = _Bounded(lambda t: self._spine(t, 1), 1 << 17)
         self.source = _Bounded(lambda t: self._spine(t, 0), 1 << 17)
+        made = {left + right for left, right in merges}
+        #: tokens that some arc has: bytes, and what a merge made of two arcs that could follow each other
+        self.live = {s: i for s, i in vocab.items() if s not in made}
+        for at, (left, right) in enumerate(merges):
+            u, v = vocab[left], vocab[right]
+            if left in self.live and right in self.live and self._arc(u << 20 | v):
+                self.cut[u << 20 | v] = at
+                w = self.live[left + right] = vocab[left + right]
+                self.made[w] = (u, v, at)
+        #: three letters -> the length of the longest token that begins with them
+        self.reach: dict[str, int] = {}
+        for s in self.live:
+            if len(s) >= 3:
+                self.reach[s[:3]] = max(len(s), self.reach.get(s[:3], 0))
         self.arc = _Bounded(self._arc, cached)
         self.paths = _Bounded(self._encode, cached)
 
@@ -99,7 +104,7 @@ class TokenAutomaton:
         Longest tokens first.  A prefix has one path only, so a place from which
         no path goes on is no token's end, and is not tried again.
         """
-        n, token_of, arc, reach = len(word), self.vocab.get, self.arc, self.reach.get
+        n, token_of, arc, reach = len(word), self.live.get, self.arc, self.reach.get
         whole = word + self.suffix
         token = token_of(whole) if n else None
         if token is not None:
