@@ -133,7 +133,7 @@ def validate(merged: Merged, mapping: Mapping, settings: Settings | None = None,
             odd = date_outlier(c.name, s)
             parts += [F.sum(odd.cast("long")).alias("odd"), F.min(F.when(odd, v)).cast("string").alias("odd_first"), F.max(F.when(odd, v)).cast("string").alias("odd_last")]
         wide.append(F.struct(*parts).alias(c.name))
-    totals = df.agg(F.count("*").alias("__rows"), *wide).first().asDict()
+    totals = df.agg(F.count("*").alias("__rows"), *wide).first().asDict(recursive=True)
     failures = merged.failures().first().asDict()
     found: list[Finding] = []
     for c in columns:
