@@ -33,6 +33,8 @@ class Settings:
     dim: int = 8
     window: int = 3
     word_epochs: int = 6
+    #: Steps on words, at least; a small sample is gone through more often.
+    least_steps: int = 120
     window_epochs: int = 60
     #: Words of fewer documents teach no class by themselves.
     least_docs: int = 3
@@ -153,10 +155,11 @@ def train(column: pa.Array, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
         adam("bias", bias, g.sum(axis=0).astype(np.float32))
         adam("table", table, to_table)
 
-    for _ in range(s.word_epochs):
+    batch = min(max(len(common) // 16, 64), 16384)
+    for _ in range(max(s.word_epochs, -(-s.least_steps * batch // len(common)))):
         order = rng.permutation(common)
-        for i in range(0, len(order), 16384):
-            rows = order[i : i + 16384]
+        for i in range(0, len(order), batch):
+            rows = order[i : i + batch]
             step(rows, np.arange(len(rows) + 1), share[rows], weight[rows])
 
     def margins() -> tuple[np.ndarray, float]:
