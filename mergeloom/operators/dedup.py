@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergeloom.operators.numbering import number_in_groups
 from mergeloom.operators.union import ORDINALS, Merged
 from mergeloom.plans.contracts import Clusters, TargetSchema
 
@@ -83,8 +84,9 @@ def deduplicate(merged: Merged, clusters: Clusters, column: str | None = None) -
         {"_merged_row_count": F.lit(1).cast("long"), "_changed": F.lit(0).cast("long")}
     )
     key = ["_entity_cluster_id", *schema.names]
-    occurrence = Window.partitionBy(*[F.col(f"`{k}`") for k in key], F.col(f"`{original}`")).orderBy(*ORDINALS)
-    inside = rewritten.where(F.col("_entity_cluster_id").isNotNull()).withColumn("_occurrence", F.row_number().over(occurrence))
+    # Runs of 65,536 rows of a source, so that a row repeated throughout a source is not numbered by one task.
+    runs = [F.col("_file_idx"), F.col("_sheet_idx"), F.shiftright("_row_idx", 16)]
+    inside = number_in_groups(rewritten.where(F.col("_entity_cluster_id").isNotNull()), [*key, original], runs, ORDINALS, "_occurrence")
     folded = inside.groupBy(*[F.col(f"`{k}`") for k in key], "_occurrence").agg(
         F.min(order).alias("_first"), F.count("*").alias("_merged_row_count"),
         *[_in_order(c, order).alias(c) for c in (*carried, original)],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import urllib.request
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from mergeloom.functions.coerce import bare
 from mergeloom.functions.keys import KeyTables, comparison_key
 from mergeloom.operators.components import components
+from mergeloom.operators.numbering import number_rows
 from mergeloom.plans.contracts import Cluster, ClusterCandidate, ClusterMember, Clusters
 from mergeloom.runtime import written
 
@@ -36,7 +38,7 @@ def value_frequency(df: DataFrame, column: str, ordinals: Sequence[str] = ()) ->
     value = F.col(f"`{column}`")
     first = F.min(F.struct(*ordinals)) if ordinals else F.min(value)
     seen = df.where(value.isNotNull() & (bare(value) != "")).groupBy(value.alias("value")).agg(F.count("*").alias("row_count"), first.alias("_first"))
-    ranked = seen.withColumn("idx", F.row_number().over(Window.orderBy("_first", "value")).cast("long") - 1)
+    ranked = number_rows(seen, ("_first", "value"), "idx")
     return ranked.select("idx", "value", "row_count")
 
 
@@ -147,6 +149,19 @@ def score_pairs(pairs: DataFrame, blocked: DataFrame, embedder: Embedder = hashe
     return classify(scored, thresholds, known).drop("left_vector", "right_vector")
 
 
+def http_embedder(url: str, model: str, key: str | None = None, timeout: float = 120) -> Embedder:
+    """An embeddings endpoint that takes {"model", "input"}: answers with data[].embedding or embeddings[]."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(url, json.dumps({"model": model, "input": texts}).encode(), headers)
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            got = json.load(answer)
+        return got["embeddings"] if "embeddings" in got else [x["embedding"] for x in got["data"]]
+
+    return embed
+
+
 ADVICE_PROMPT = (
     "Say whether two descriptions name the same product. Answer with JSON only: "
     '{"same": true or false, "confidence": 0 to 1, "reason": "..."}. A person confirms every merge.'
