@@ -102,7 +102,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
-def chunks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) of runs of whole texts, of about most_bytes or one text."""
     offsets, data = buffers(column)
     n, i = len(offsets) - 1, 0
