@@ -311,6 +311,19 @@ def test_lm_is_a_distribution():
     assert not any(a != b and b.startswith(a) for a in words for b in words)
 
 
+def test_lm_last_two_frequent_words():
+    """The fourth predictor tells texts apart that differ in the last frequent word but one."""
+    raw = np.frombuffer(b"a b c" + b"c b c", np.uint8)
+    hashes = lm.Texts(raw, np.array([0, 5, 10])).distinct()[0]
+    code = lm.Code(np.append(hashes, [lm.END, lm.ESCAPE]), np.array([9, 8, 7, 2, 1]))
+    slots = []
+    for part in (raw[:5], raw[5:]):
+        t = lm.Tokens(part, np.array([0, 5]), code, 1 << 40)
+        slots.append(lm.decisions(t, 2, 3, code, 20)[0])
+    assert slots[0].shape[0] == lm.CONTEXTS == 4
+    assert (slots[0][:3] == slots[1][:3]).all() and (slots[0][3] != slots[1][3]).all()
+
+
 def labelled_texts(spark, mark):
     """Texts of two kinds, of which one holds marked words."""
     rng = random.Random(9)
