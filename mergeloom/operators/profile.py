@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,10 +70,10 @@ def _cells(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     return numbered.select(F.col("__at").alias("at"), F.inline(F.array(*rows)))
 
 
-def profile_table(df: DataFrame, name: str, sample_size: int = 5, head_rows: int = 10_000) -> DataFrame:
+def profile_table(df: DataFrame, name: str, sample_size: int = 5) -> DataFrame:
     """One row for each column: type, samples, unique_count, null_ratio, min, max and format_pattern.
 
-    Samples are the first cells with a value among the table's first head_rows rows.
+    Samples are the first cells with a value of the whole column.
     """
     if sample_size < 1:
         raise ValueError("sample_size must be at least 1")
@@ -91,8 +91,10 @@ def profile_table(df: DataFrame, name: str, sample_size: int = 5, head_rows: int
     there = cell.isNotNull()
     every = lambda c: F.coalesce(F.bool_and(F.when(there, c)), F.lit(False))
     shown_cell = F.when(kind == "date", F.replace(cell, F.lit(" "), F.lit("T"))).otherwise(cell)
-    head = _cells(df.limit(head_rows), fields).where(there).groupBy("i").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("at", shown_cell.alias("v")))), 1, sample_size).alias("first")
+    # Each task keeps its first sample_size cells of a column before any are dealt out.
+    first = F.row_number().over(Window.partitionBy("i").orderBy("at")) <= sample_size
+    head = _cells(df, fields).where(there).select("i", "at", shown_cell.alias("v"), first.alias("first")).where("first").groupBy("i").agg(
+        F.sort_array(F.collect_list(F.struct("at", "v"))).alias("first")
     )
     by_column = cells.groupBy("i").agg(
         F.count("*").alias("rows"), F.count(cell).alias("filled"), F.count_distinct(cell).alias("unique_count"),

@@ -80,6 +80,16 @@ def test_profile(spark):
     assert [r.null_ratio for r in profile_table(df.limit(0), "t").collect()] == [0.0] * 5
 
 
+def test_profile_samples_cover_the_whole_column(spark):
+    """A column whose first values come late in a sparse table has samples, in the order of rows, and few rows are dealt out."""
+    late = F.when(F.col("id") >= 15_000, F.concat(F.col("id").cast("string"), F.lit(" EUR")))
+    df = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("_row_idx"), late.alias("price"), F.lit(None).cast("string").alias("none"))
+    profile = profile_table(df, "t", sample_size=3)
+    got = {r.name: r.samples for r in profile.collect()}
+    assert got == {"price": ["15000 EUR", "15001 EUR", "15002 EUR"], "none": []}
+    assert "WindowGroupLimit" in profile._jdf.queryExecution().toString()
+
+
 def greedy(rows, members):
     """The row-by-row rule: fold into the first survivor of the key that lacks the spelling."""
     out = []
