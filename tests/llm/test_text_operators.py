@@ -324,6 +324,30 @@ def test_lm_last_two_frequent_words():
     assert (slots[0][:3] == slots[1][:3]).all() and (slots[0][3] != slots[1][3]).all()
 
 
+def test_lm_grows_with_the_corpus(spark, docs, monkeypatch):
+    """Tables hold two slots for each training word, however many; a share of texts fits the weights; ranges of slots add up."""
+    assert [lm.sized(lm.Settings(), n).slots_log2 for n in (0, 1 << 20, 3_370_956, 1 << 30)] == [21, 21, 23, 31]
+    assert lm.weight_rate(lm.Settings(), 100) == 0.5 and lm.weight_rate(lm.Settings(), 256_000_000) * 256_000_000 == 1_000_000
+    seen, pages = [], lm.slot_pages
+    monkeypatch.setattr(lm, "slot_pages", lambda texts, code, s: seen.append(s.slots_log2) or pages(texts, code, s))
+    least = lm.Settings(slots_log2=4, page_log2=3, counted_log2=5, fan_in=2)
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(docs, least).collect()}
+    part = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    words = len({w for r in corpus() if part(r[0]) != 2 for w in re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")})
+    assert len(seen) == 2 and seen[0] == seen[1] and 2 ** seen[0] >= words > 2**4
+    whole = lm.Settings(slots_log2=seen[0], page_log2=3, fan_in=2)
+    assert got == pytest.approx({(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(docs, whole).collect()})
+
+
+def test_lm_codes_every_frequent_word(spark):
+    """No cap on the words that have codes."""
+    n = (1 << 19) + 10
+    counts = spark.range(1, n + 1).select(F.col("id").alias("word"), F.lit(6).cast("long").alias("c")).where(F.col("word") != int(lm.END))
+    code = lm.vocabulary(counts, lm.Settings(), 6 * n, n)
+    assert len(code.hashes) == n + 1 and (code.find(np.array([1, n], np.uint64)) >= 0).all()
+    assert (2.0 ** -code.lengths.astype(float)).sum() == 1
+
+
 def labelled_texts(spark, mark):
     """Texts of two kinds, of which one holds marked words."""
     rng = random.Random(9)
