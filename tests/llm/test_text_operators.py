@@ -339,6 +339,15 @@ def test_lm_grows_with_the_corpus(spark, docs, monkeypatch):
     assert got == pytest.approx({(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(docs, whole).collect()})
 
 
+def test_lm_slots_count_beyond_16_bits():
+    slots, bit = np.repeat(np.array([[5, 9, 6]]), [100_000, 40_000, 3], axis=1).repeat(lm.CONTEXTS, axis=0), np.arange(140_003) % 2
+    counts = lm.Slots(4, 4)
+    counts.add(slots, bit)
+    page = counts.page(3, 0, 4)
+    assert page.tolist() == [[0, 50_000, 1, 0], [0, 50_000, 2, 0]] or page.tolist() == [[0, 50_000, 2, 0], [0, 50_000, 1, 0]]
+    assert (lm.unpacked(lm.packed(page), 8) == page.ravel()).all()
+
+
 def test_lm_codes_every_frequent_word(spark):
     """No cap on the words that have codes."""
     n = (1 << 19) + 10
