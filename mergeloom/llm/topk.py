@@ -38,7 +38,7 @@ def bounded_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, id, score) of each query's k best rows of the block: all integers, ties to smaller ids."""
+    """(query, row, score) of each query's k best rows of the block, by place: all integers, ties to smaller ids; rows of the query's own id are none."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     width = rows.shape[1]
     largest = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * width
@@ -61,7 +61,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
             left = left[upper >= least]
         score = (x[left] @ q[i]).astype(np.int64)
         order = np.lexsort((ids[left], -score))[:k]
-        found.append((np.full(len(order), query_ids[i]), ids[left][order], score[order]))
+        found.append((np.full(len(order), i), left[order], score[order]))
     if not found:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(part) for part in zip(*found))
@@ -76,52 +76,54 @@ def top_products(
     Candidates are all rows but those of the query's own vec_id.  Vectors that
     are null, empty, or hold null or non-finite components take no part, nor do
     rows without vec_id; vectors of another length than the query's are no
-    candidates for it.  Rows that repeat whole count once; a vec_id with
-    different vectors is a candidate with each, and the least of them, in
-    order, is its query.  Fewer candidates than k give fewer rows.
+    candidates for it.  Rows that repeat whole are candidates, and queries, as
+    often as they stand there: each is compared once and its results are
+    repeated, for which k copies are enough.  A vec_id with different vectors is
+    a candidate with each, and has one ranking over all its query rows.  Fewer
+    candidates than k give fewer rows; an empty table gives an empty table;
+    other columns are not read.
     """
     whole = F.transform("embedding", lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
     sound = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
     rows = (
         vectors.where(F.col("vec_id").isNotNull() & F.coalesce((F.size("embedding") > 0) & sound, F.lit(False)))
         .select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-        .distinct()
+        .groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))
         .withColumn("width", F.size("v"))
     )
     sizes = {r["width"]: (r["n"], r["q"]) for r in rows.groupBy("width").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).collect()}
     blocks = lambda pick, size: F.coalesce(*[F.when(F.col("width") == w, max(1, -(-n[pick] // size))) for w, n in sizes.items()], F.lit(1))
-    packed = F.sort_array(F.collect_list(F.struct("vec_id", "v")))  # about a block's rows
-    deal = F.xxhash64("vec_id")
+    packed = F.sort_array(F.collect_list(F.struct("vec_id", "v", "copies")))  # about a block's rows
+    deal = F.xxhash64("vec_id", "v")  # rows of one vec_id are dealt out, too
     q_block, c_block = F.pmod(deal, blocks(1, query_rows)).cast("int"), F.pmod(deal, blocks(0, block_rows)).cast("int")
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("width", "vec_id").agg(F.min("v").alias("v"))
+    asked = rows.where(F.col("vec_id") % every == 0)
     queries = asked.groupBy("width", q_block.alias("q")).agg(packed.alias("rows"))
     queries = queries.select("width", "q", F.explode(F.sequence(F.lit(0), blocks(0, block_rows) - 1)).alias("c"), F.lit(0).alias("side"), "rows")
     held = rows.groupBy("width", c_block.alias("c")).agg(packed.alias("rows"))
     held = held.select("width", F.explode(F.sequence(F.lit(0), blocks(1, query_rows) - 1)).alias("q"), "c", F.lit(1).alias("side"), "rows")
 
-    def unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = rows.flatten()
-        ids = flat.field("vec_id").to_numpy(zero_copy_only=False)
-        return ids, flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        ids, copies = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "copies"))
+        return ids, flat.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), copies
 
     def meet(table: pa.Table) -> pa.Table:
         side = table.column("side").to_pylist()
-        part = [(np.zeros(0, np.int64), np.zeros((0, 1), np.int64))] * 2
-        for i, s in enumerate(side):
-            part[s] = unpack(table.column("rows").slice(i, 1).combine_chunks())
         if 0 not in side or 1 not in side:
-            got = (np.zeros(0, np.int64),) * 3
-        else:
-            got = search_block(*part[0], *part[1], k)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got))))
+            return pa.table({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score", "copies")})
+        (query_ids, asked, asked_copies), (ids, held, held_copies) = (unpack(table.column("rows").slice(side.index(i), 1).combine_chunks()) for i in (0, 1))
+        query, row, score = search_block(query_ids, asked, ids, held, k)
+        found = (query_ids[query], ids[row], score, asked_copies[query] * held_copies[row])
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "copies"), map(pa.array, found))))
 
     both = queries.unionByName(held)
     n_pairs = sum(max(1, -(-n // block_rows)) * max(1, -(-q // query_rows)) for n, q in sizes.values())
     both = both.repartition(max(1, min(n_pairs, 8192)), "width", "q", "c")
-    partial = both.groupBy("width", "q", "c").applyInArrow(meet, "query_id long, vec_id long, score long")
+    partial = both.groupBy("width", "q", "c").applyInArrow(meet, "query_id long, vec_id long, score long, copies long")
+    each = partial.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

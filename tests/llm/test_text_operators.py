@@ -55,6 +55,16 @@ def labels(spark):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
 
+def by_sql(sql, tables):
+    """Rows of a registered SQL over the tables, in DuckDB."""
+    import duckdb
+
+    with duckdb.connect() as db:
+        for name, df in tables.items():
+            db.register(name, df.toArrow())
+        return db.sql(sql).fetchall()
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
@@ -271,18 +281,22 @@ def test_top_k(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(0, 0.3, 24).astype(np.float32).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[40][1]) for i in range(60)]  # ties
-    rows += [(5000, None), (5020, []), (5040, [None] * 24), (5060, [float("nan")] * 24), (5080, [float("inf")] * 24), (None, rows[0][1]), (6000, [1.0, 2.0]), (20, rows[20][1])]
+    rows += [(5000, None), (5020, []), (5040, [None] * 24), (5060, [float("nan")] * 24), (5080, [float("inf")] * 24), (None, rows[0][1]), (6000, [1.0, 2.0])]
+    rows += [(20, rows[20][1])] + [(21, rows[21][1])] * 30 + [(23, rows[24][1]), (40, rows[41][1])]  # repeated rows, and ids with two vectors
     df = spark.createDataFrame([(i, v, "own") for i, v in rows], "vec_id long, embedding array<float>, score string")
-    sound = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    expected = []
-    for i, q in sorted(sound):
+    sound = [(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    scores = defaultdict(list)
+    for i, q in sound:
         if i % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i and len(v) == len(q))
-            expected += [(i, k, j, -s) for k, (s, j) in enumerate(scores[:20], 1)]
+            scores[i] += [(-sum(a * b for a, b in zip(q, v)), j) for j, v in sound if j != i and len(v) == len(q)]
+    expected = [(i, k, j, -s) for i in scores for k, (s, j) in enumerate(sorted(scores[i])[:20], 1)]
     for sizes in ({}, {"query_rows": 7, "block_rows": 50}):
         got = sorted(tuple(r) for r in topk.top_products(df, **sizes).collect())
         assert got == sorted(expected)
     assert topk.top_products(df.limit(0)).count() == 0
+    # The registered SQL agrees on repeated rows and ids with several vectors.
+    same = df.where("size(embedding) = 24 or embedding is null")
+    assert sorted(tuple(r) for r in topk.top_products(same).collect()) == sorted(by_sql(topk.SQL, {"embeddings": same.drop("score")}))
 
 
 SMALL = lm.Settings(slots_log2=12, page_log2=10, fan_in=2)
