@@ -1,15 +1,19 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table of (h1, h2, n_docs, keeper): the 128-bit hash of a line's key,
-in how many documents of the run it stands, and the largest doc_id holding it;
-it is sorted by the hash.  Each new batch adds a run at level 0; when a level
-holds ``fanout`` runs, they are merged into one run of the next level.  Lines
-that the merged runs mark as surplus leave their documents by an anti-join.
-
-Everything is DataFrame code.  A line that a large share of all documents holds
-is handled apart: at most ``heavy_share`` keys can hold over 1/heavy_share of
-all lines, so these are few enough to broadcast, and no join key of the
-shuffled join has more than that share of the rows.
+in how many documents of the run it stands, and the largest doc_id holding it.
+Runs are sorted by the hash and share one bucketing by it, so joining and
+merging them moves no rows.  Batches of documents come in falling order of
+doc_id.  Each new batch is merge-joined with the runs: keys that these have
+settled, as found in enough documents, have their keeper already and leave it;
+the others are added as a run of level 0.  When a level holds ``fanout`` runs,
+they are compacted into one run of the next level.  Lines of settled keys then
+leave all documents but the keeper's.
+
+Everything is DataFrame code.  Lines that over 1/``heavy_share`` of a batch's
+(line, document) pairs hold are handled apart: there are fewer than heavy_share
+of them in a batch, few enough to broadcast, and no other key has more than that
+share of the rows of the shuffled join.
 """
 
 from __future__ import annotations
@@ -38,77 +42,121 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+KEY = ["h1", "h2"]
+
+
 class LineRuns:
-    """The levelled runs of one dedup, in the shared folder."""
+    """The levelled runs of one dedup, as bucketed tables whose files are in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, min_docs: int = 5, buckets: int = 8, fanout: int = 2):
+        self.spark, self.min_docs, self.buckets, self.fanout = spark, min_docs, buckets, fanout
         self.levels: list[list[str]] = [[]]
-
-    def _write(self, runs: DataFrame, level: int) -> None:
-        merged = runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-        path = new_path(self.spark, f"run{level}")
-        merged.sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
+        self._paths: dict[str, str] = {}
+
+    def _save(self, rows: DataFrame) -> str:
+        """rows as a table of its own, one sorted file a bucket if they come bucketed."""
+        path = new_path(self.spark, "run")
+        name = f"spark_catalog.default.run_{path[-12:]}"
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).format("parquet").saveAsTable(name)
+        self._paths[name] = path
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, self._paths.pop(name))
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs merged: joins of tables of one bucketing, which move no rows of the first two."""
+        rows = self.spark.table(names[0])
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnsRenamed({"n_docs": "more", "keeper": "other"})
+            rows = rows.join(other.hint("merge"), KEY, "full_outer").select(
+                *KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("keeper", "other").alias("keeper")
+            )
+        return rows
+
+    def _unsettled(self, batch: str) -> DataFrame:
+        """Rows of a batch but those whose keys stand in enough documents of the runs."""
+        rows, seen = self.spark.table(batch), F.lit(0)
+        for i, name in enumerate(self._runs()):
+            run = self.spark.table(name).select(*KEY, F.col("n_docs").alias(f"n{i}"))
+            rows, seen = rows.join(run.hint("merge"), KEY, "left"), seen + F.coalesce(f"n{i}", F.lit(0))
+        return rows.where(seen < self.min_docs).select(*KEY, "n_docs", "keeper")
+
+    def _runs(self) -> list[str]:
+        return [n for level in self.levels for n in level]
+
+    def add(self, lines: DataFrame, heavy_share: int) -> DataFrame:
+        """Add a batch: (h1, h2, doc), one row per document and key, all documents before those added so far.
+
+        Gives (h1, h2) of the keys that over 1/heavy_share of the rows hold.
+        """
+        keys = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
+        batch = self._save(keys.repartition(self.buckets, *KEY))
+        rows = self.spark.table(batch)
+        total = rows.agg(F.sum("n_docs")).first()[0] or 0
+        heavy = written(rows.where(F.col("n_docs") * heavy_share > total).select(*KEY), "heavy")
+        own = batch
+        if self._runs():
+            own = self._save(self._unsettled(batch))
+            self._drop(batch)
+        self.levels[0].append(own)
+        for level, held in enumerate(self.levels):
+            if len(held) >= self.fanout:
+                self._compact(held, level + 1)
+                held.clear()
+        return heavy
+
+    def _compact(self, names: list[str], level: int) -> None:
+        merged = self._save(self._merged(names))
+        for name in names:
+            self._drop(name)
+        if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def add(self, lines: DataFrame) -> None:
-        """lines: (h1, h2, doc), one row per document and key."""
-        self._write(lines.select("h1", "h2", F.lit(1).cast("long").alias("n_docs"), F.col("doc").alias("keeper")), 0)
-        for level in range(len(self.levels)):
-            if len(self.levels[level]) >= self.fanout:
-                full, self.levels[level] = self.levels[level], []
-                self._write(self.spark.read.parquet(*full), level + 1)
-                for path in full:
-                    remove(self.spark, path)
-
-    def merged(self) -> DataFrame:
-        """One row per key over all runs."""
-        paths = [p for level in self.levels for p in level]
-        if len(paths) > 1:
-            self.levels = [[] for _ in self.levels] + [[]]
-            self._write(self.spark.read.parquet(*paths), len(self.levels) - 1)
-            for path in paths:
-                remove(self.spark, path)
-            paths = self.levels[-1]
-        return self.spark.read.parquet(*paths)
+        self.levels[level].append(merged)
+
+    def settled(self) -> DataFrame:
+        """(h1, h2, keeper) of every key found in enough documents; the runs are compacted into one and kept no longer."""
+        runs = self._runs()
+        out = written(self._merged(runs).where(F.col("n_docs") >= self.min_docs).select(*KEY, "keeper"), "settled")
+        for name in runs:
+            self._drop(name)
+        self.levels = [[]]
+        return out
 
 
 def surplus_lines(
-    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4, heavy_share: int = 1024
+    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, heavy_share: int = 1024, bucket_rows: int = 1 << 22
 ) -> DataFrame:
-    """(doc, text_hash, positions): the lines that each document loses; documents that lose none are left out.
+    """(doc, text_hash, positions): the lines that each text loses; texts that lose none are left out.
 
-    A document is a distinct pair of doc_id and text.
+    A document is a doc_id; rows without one hold no document, and lose nothing.
+    A bucket of the runs has about ``bucket_rows`` keys of a batch at most.
     """
     spark = docs.sparkSession
-    line = docs.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"),
-        F.xxhash64("text").alias("text_hash"),
-        F.posexplode(lines_of(F.col("text"))).alias("at", "line"),
+    known = docs.where(F.col("doc_id").isNotNull())
+    first, last = known.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
+    first, last = first or 0.0, last or 0.0
+    line = known.select(
+        F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"),
     ).where(F.octet_length("line") >= min_chars)
     keyed = line.select("doc", "text_hash", "at", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    # Later batches hold smaller ids: no id is in two, however it rounds.
+    batch = F.floor((F.lit(last) - F.col("doc").cast("double")) / F.lit((last - first) * (1 + 1e-9) + 1) * batches).cast("int")
     held = (
         keyed.select("doc", "text_hash", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-        .groupBy("doc", "text_hash", "h1", "h2")
-        .agg(F.collect_list("at").alias("positions"))
-        .withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+        .groupBy("doc", "text_hash", *KEY)
+        .agg(F.collect_set("at").alias("positions"))  # of one text
+        .withColumn("batch", F.least(F.lit(batches - 1), batch))
     )
     held = written(held, "lines", partition_by=["batch"])
-    runs = LineRuns(spark, fanout)
-    for i in range(batches):
-        runs.add(held.where(F.col("batch") == i))
-    merged = runs.merged()
-    total = merged.agg(F.sum("n_docs")).first()[0] or 0
-    often = merged.where(F.col("n_docs") >= min_docs)
-    heavy = F.col("n_docs") * heavy_share > total  # fewer than heavy_share keys
-    held = held.select("doc", "text_hash", "h1", "h2", "positions")
-    few = F.broadcast(often.where(heavy).select("h1", "h2", "keeper"))
-    by_broadcast = held.join(few, ["h1", "h2"])
-    by_merge = held.join(few.select("h1", "h2"), ["h1", "h2"], "left_anti").join(
-        often.where(~heavy).select("h1", "h2", "keeper").hint("merge"), ["h1", "h2"]
-    )
+    runs = LineRuns(spark, min_docs, max(8, -(-held.count() // (batches * bucket_rows))), fanout)
+    heavy = [runs.add(held.where(F.col("batch") == i).select(*KEY, "doc").distinct(), heavy_share) for i in range(batches)]
+    heavy = reduce(DataFrame.union, heavy).distinct()  # fewer than batches x heavy_share keys
+    often = runs.settled()
+    held = held.select("doc", "text_hash", *KEY, "positions")
+    by_broadcast = held.join(F.broadcast(often.join(F.broadcast(heavy), KEY)), KEY)
+    by_merge = held.join(F.broadcast(heavy), KEY, "left_anti").join(often.hint("merge"), KEY)
     lost = by_broadcast.unionByName(by_merge).where(F.col("doc") < F.col("keeper"))
     return lost.groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("positions")).alias("positions"))
 
@@ -120,14 +168,16 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     documents lose all their lines except in the largest doc_id holding them.
 
     A text that is null or empty has one empty line, and kept is then empty.
-    Shorter keys are never dropped.  A null doc_id counts as smaller than any
-    other.  Rows repeated whole count as one document and lose the same lines;
-    other columns, whatever their names, pass unchanged (n_lines, n_dropped and
-    kept replace columns so named).  An empty table gives an empty table.
+    Texts of any length are split whole.  Shorter keys are never dropped.  Rows
+    of one doc_id, with one text or several, are one document: it is counted
+    once, and all or none of them lose a line.  A row without doc_id is not
+    counted and loses nothing.  Other columns, whatever their names, pass
+    unchanged (n_lines, n_dropped and kept replace columns so named).  An empty
+    table gives an empty table.
     """
     base = docs.drop("n_lines", "n_dropped", "kept")
     lost = surplus_lines(base.select("doc_id", "text"), **options).select(
-        F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.array_distinct("positions").alias("__lost")
+        F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("positions").alias("__lost")
     )
     joined = base.withColumns({"__doc": F.coalesce("doc_id", F.lit(NO_ID)), "__hash": F.xxhash64("text")}).join(
         lost, ["__doc", "__hash"], "left"

@@ -71,18 +71,17 @@ def empty(spark):
 
 def test_line_dedup(spark, docs):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
-    whole = set((r[0], r[1]) for r in corpus())
     holders = defaultdict(set)
-    for doc, text in whole:
+    for doc, text, *_ in corpus():
         for x in (text or "").split("\n"):
-            if len(key(x)) >= 40:
-                holders[key(x)].add(-1 if doc is None else doc)
+            if doc is not None and len(key(x)) >= 40:
+                holders[key(x)].add(doc)
     often = {k: max(v) for k, v in holders.items() if len(v) >= 5}
     assert often
     expected = []
     for r in corpus():
         lines = (r[1] or "").split("\n")
-        kept = [x for x in lines if not (-1 if r[0] is None else r[0]) < often.get(key(x), -2)]
+        kept = [x for x in lines if r[0] is None or not r[0] < often.get(key(x), -2)]
         expected.append((r[0], len(lines), len(lines) - len(kept), "\n".join(kept)))
     got = linededup.dedup_lines(docs)
     assert set(docs.columns) - {"kept"} < set(got.columns)
@@ -91,8 +90,35 @@ def test_line_dedup(spark, docs):
     assert order(rows) == order(expected)
     assert linededup.line_digest(empty(spark)).count() == 0
     # Many batches and compactions change nothing.
-    again = linededup.dedup_lines(docs, batches=7, fanout=2, heavy_share=2)
-    assert order([(r.doc_id, r.n_lines, r.n_dropped, r["kept"]) for r in again.collect()]) == order(expected)
+    for options in ({"batches": 7, "fanout": 2, "heavy_share": 2}, {"batches": 9, "fanout": 3, "heavy_share": 1}):
+        again = linededup.dedup_lines(docs, **options)
+        assert order([(r.doc_id, r.n_lines, r.n_dropped, r["kept"]) for r in again.collect()]) == order(expected)
+
+
+def test_line_dedup_counts_doc_ids(spark):
+    """One doc_id with several rows is one document, a row without is none; the registered SQL agrees."""
+    long = "x" * 45
+    few = [(1, long), (1, long), (1, f"a\n{long}"), (2, long), (3, long), (None, long), (None, long)]
+    enough = [*few, (4, f"{long}\n{long}\nend"), (5, f" {long.upper()} "), (-(2**62), long), (2**62, long), (7, None)]
+    for rows in (few, enough, []):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((tuple(r) for r in linededup.line_digest(df).collect()), key=str)
+        assert got == sorted(by_sql(linededup.SQL, {"documents": df}), key=str)
+        assert any(r[2] for r in got) == (rows is enough)
+
+
+def test_runs_drop_what_is_settled(spark):
+    """A batch adds only keys that the runs before it have not settled."""
+    rows = lambda docs, keys: spark.createDataFrame([(k, -k, d) for d in docs for k in keys], "h1 long, h2 long, doc long")
+    runs = linededup.LineRuns(spark, min_docs=2, buckets=3, fanout=2)
+    held = lambda: sorted((r.h1, r.n_docs, r.keeper) for n in runs._runs() for r in spark.table(n).collect())
+    assert runs.add(rows([9, 8], [1, 2]).union(rows([9], [3])), 3).count() == 2
+    assert held() == [(1, 2, 9), (2, 2, 9), (3, 1, 9)]
+    runs.add(rows([7], [1, 3, 4]), 1)
+    assert held() == [(1, 2, 9), (2, 2, 9), (3, 2, 9), (4, 1, 7)] and [len(x) for x in runs.levels] == [0, 1]
+    runs.add(rows([5], [2, 3, 4]), 1)
+    assert sorted((r.h1, r.keeper) for r in runs.settled().collect()) == [(1, 9), (2, 9), (3, 9), (4, 7)]
+    assert not runs._paths
 
 
 def test_mixing(spark, docs):
