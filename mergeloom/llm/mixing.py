@@ -90,9 +90,13 @@ def mix_sources(docs: DataFrame, most: int = 2, shapes: dict = SHAPES, **shares)
 
     A source's documents stand in the order of md5(doc_id); the mix takes the
     stream that repeats them, document by document, until it comes nearest to
-    the target, so a source misses its target by half a document at most.  The
-    order is cut into hash buckets of about bucket_rows rows: sums of buckets
-    first, then the order within each bucket, so that no task holds a source.
+    the target, so a source misses its target by half a document at most: a
+    document whose middle the stream passes before its end is taken.  Each time
+    it is, the demand met by then gives its training position.  The order is cut
+    into 4096 cells of the hash: sums of cells first, then the order within each
+    cell, so that no task holds a source.
+
+    shapes: the schedule of each weight; a weight without one is an error.
 
     A null text has no words; documents without words are never taken.  Null is
     a source of its own, the last.  Repeated rows are documents of their own,
@@ -100,6 +104,8 @@ def mix_sources(docs: DataFrame, most: int = 2, shapes: dict = SHAPES, **shares)
     replaced, others pass.  An empty table gives an empty table.
     """
     added = ("size", "source_size", "target", "copies", "taken", "positions")
+    if missing := set(shares.get("weights", (5, 2, 1))) - set(shapes):
+        raise ValueError(f"no schedule for weights {sorted(missing)}")
     sized = _with_key(docs.drop(*added)).withColumns({
         "size": word_count(F.col("text")),
         "__key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
@@ -120,21 +126,20 @@ def mix_sources(docs: DataFrame, most: int = 2, shapes: dict = SHAPES, **shares)
     placed = placed.withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(cell.select("__src", "__cell", "__offset"), ["__src", "__cell"])
     placed = _join_sources(placed, targets)
-    middle = F.col("__offset") + F.col("__before") + F.col("size") / 2
-    copies = F.when(F.col("size") == 0, 0).otherwise(
-        F.greatest(F.lit(0), F.least(F.lit(most), F.floor((F.col("target") - middle) / F.col("source_size")) + 1))
+    # The demand that the stream has met at the middle of the document, the first time it passes.
+    met = F.col("__offset") + F.col("__before") + F.col("size") / 2
+    times = F.when(F.col("size") == 0, 0).otherwise(
+        F.greatest(F.lit(0), F.least(F.lit(most), F.floor((F.col("target") - met) / F.col("source_size")) + 1))
     )
     shape = F.lit(None)
     for weight, knots in shapes.items():
         shape = F.when(F.col("__weight") == weight, F.array(*map(F.lit, knots))).otherwise(shape)
-    placed = placed.withColumns({"copies": copies.cast("int"), "__middle": middle, "__shape": F.coalesce(shape, F.array(F.lit(1.0), F.lit(1.0)))})
-    placed = placed.withColumns({
-        "taken": F.col("copies") * F.col("size"),
-        "positions": F.when(F.col("copies") > 0, F.transform(
-            F.sequence(F.lit(0), F.col("copies") - 1),
-            lambda e: invert_schedule(F.col("__shape"), (e * F.col("source_size") + F.col("__middle")) / F.col("target")),
-        )).otherwise(F.array().cast("array<double>")),
-    })
+    placed = placed.withColumns({"__times": times.cast("int"), "__met": met, "__shape": shape})
+    placed = placed.withColumn("positions", F.when(F.col("__times") > 0, F.transform(
+        F.sequence(F.lit(0), F.col("__times") - 1),
+        lambda e: invert_schedule(F.col("__shape"), (e * F.col("source_size") + F.col("__met")) / F.col("target")),
+    )).otherwise(F.array().cast("array<double>")))
+    placed = placed.withColumn("copies", F.size("positions")).withColumn("taken", F.col("copies") * F.col("size"))
     return placed.select(*docs.drop(*added).columns, "size", "source_size", "target", "copies", "taken", "positions")
 
 
@@ -147,8 +152,15 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken."""
-    return mix_sources(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    """Per document: doc_id, size, source_size, target, taken, and its first and last training position, in whose order the rows are.
+
+    taken is what stands at these positions; documents that the mix leaves out
+    have none and come last.
+    """
+    mixed = mix_sources(docs.select("doc_id", "source", "text"))
+    ends = {"first_position": F.get("positions", F.lit(0)), "last_position": F.get("positions", F.col("copies") - 1)}
+    placed = mixed.select("doc_id", "size", "source_size", "target", "taken", *[c.alias(n) for n, c in ends.items()])
+    return placed.orderBy(F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
 
 
 MIX_SQL = r"""
@@ -168,15 +180,24 @@ WITH sized AS (
   SELECT *, weight * rest >= cap * weights_left AS is_full FROM leveled
 ), water AS (SELECT rest, weights_left FROM level WHERE NOT is_full ORDER BY ratio, source NULLS LAST LIMIT 1
 ), targets AS (
-  SELECT source, source_size,
+  SELECT source, weight, source_size,
     CASE WHEN is_full THEN cap::DOUBLE ELSE weight * (SELECT rest FROM water) / (SELECT weights_left FROM water) END AS target
   FROM level
 ), placed AS (
-  SELECT s.*, t.source_size, t.target,
+  SELECT s.*, t.weight, t.source_size, t.target,
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + size / 2.0::DOUBLE AS middle
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), mixed AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE greatest(0, least(2, floor((target - middle) / source_size)::BIGINT + 1)) END AS copies FROM placed
+), timed AS (
+  SELECT *, 1.0::DOUBLE AS k1, (CASE weight WHEN 5 THEN 1.5 WHEN 2 THEN 1.0 ELSE 0.5 END)::DOUBLE AS k0,
+    (CASE weight WHEN 5 THEN 0.5 WHEN 2 THEN 1.0 ELSE 1.5 END)::DOUBLE AS k2,
+    list_transform(range(copies), lambda e: (e * source_size + middle) / target * 2.0::DOUBLE) AS rests FROM mixed
+), positioned AS (
+  SELECT *, list_transform(rests, lambda r: CASE WHEN r > (k0 + k1) / 2
+    THEN (1.0::DOUBLE + least(1.0::DOUBLE, 2 * (r - (k0 + k1) / 2) / (k1 + sqrt(greatest(k1 * k1 + 2 * (k2 - k1) * (r - (k0 + k1) / 2), 0.0::DOUBLE))))) / 2
+    ELSE least(1.0::DOUBLE, 2 * r / (k0 + sqrt(greatest(k0 * k0 + 2 * (k1 - k0) * r, 0.0::DOUBLE)))) / 2 END) AS positions FROM timed
 )
 """
-SQL = MIX_SQL.format(source="documents") + "SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM mixed"
+SQL = MIX_SQL.format(source="documents") + """
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, positions[1] AS first_position, positions[-1] AS last_position FROM positioned"""

@@ -151,8 +151,27 @@ def test_mixing(spark, docs):
     order = lambda rows: sorted(str((r.doc_id, r.text, r.positions)) for r in rows)
     assert order(got) == order(mixing.mix_sources(docs.repartition(7)).collect())
     assert "weight" in mixing.mix_sources(docs).columns and mixing.mix_digest(empty(spark)).count() == 0
-    mixed = [r.position for r in mixing.curriculum(docs).collect()]
-    assert mixed == sorted(mixed) and len(mixed) == sum(r.copies for r in got)
+    mixed = [(r.position, r.doc_id) for r in mixing.curriculum(docs).collect()]
+    assert [p for p, _ in mixed] == sorted(p for p, _ in mixed) and len(mixed) == sum(r.copies for r in got)
+    # The digest is the curriculum: its first and last positions, in their order, and what they take.
+    digest = mixing.mix_digest(docs).collect()
+    first = [r.first_position for r in digest]
+    assert first == sorted(first, key=lambda p: (p is None, p))
+    assert Counter(p for p, _ in mixed) == Counter(p for r in got for p in r.positions)
+    times = lambda r: 0 if r.first_position is None else 1 + (r.last_position > r.first_position)
+    assert all(r.taken == times(r) * r.size for r in digest) and {p for p in first if p is not None} <= {p for p, _ in mixed}
+    with pytest.raises(ValueError, match="no schedule"):
+        mixing.mix_sources(docs, weights=(5, 3))
+
+
+def test_mixing_by_sql(spark):
+    """The registered SQL, on ids that are null or repeat with one text; sources that tie, one without words."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", "c", "d", None])) for i in range(300)]
+    rows += [(7000, "one two", "a")] * 3 + [(7001, None, "empty"), (7002, " \n", "empty"), (7003, "x " * 4000, "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, want = (sorted(map(tuple, x), key=str) for x in (mixing.mix_digest(df).collect(), by_sql(mixing.SQL, {"documents": df})))
+    assert got == want
 
 
 def test_schedule_inversion(spark):
