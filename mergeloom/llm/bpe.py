@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergeloom.llm.text import RollingHash, buffers, gather
+from mergeloom.llm.text import RollingHash, buffers, gather, trim, trimmed
 
 NEVER = 1 << 30
 #: What a code point is to the pre-split.
@@ -46,6 +46,32 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(extra)) for b in range(256)]
 
 
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table of a power of two slots, half of them free or more: each key at its slot or the next free one; -1 where there is none."""
+    size = 1 << (2 * len(keys)).bit_length()
+    held, value = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+    left, slot = np.arange(len(keys)), _slot(keys, size)
+    while len(left):
+        free = held[slot] < 0
+        at, first = np.unique(slot[free], return_index=True)
+        placed = np.flatnonzero(free)[first]
+        held[at], value[at] = keys[left[placed]], values[left[placed]]
+        stay = np.ones(len(left), bool)
+        stay[placed] = False
+        left, slot = left[stay], slot[stay] + 1 & size - 1
+    return held, value
+
+
+def _by_small(keys: np.ndarray) -> np.ndarray:
+    """A stable order of small non-negative numbers; 16 bits sort in linear time."""
+    return np.argsort(keys.astype(np.uint16) if keys.max(initial=0) < 1 << 16 else keys, kind="stable")
+
+
 class TokenAutomaton:
     """The automaton of a vocabulary and its merges: letters, trie, states and transition bits, all in arrays.
 
@@ -63,8 +89,9 @@ class TokenAutomaton:
         if any(len(s.removesuffix(suffix) or s) > 1 for s in letters):
             raise ValueError("a token of several letters has no merge")
         self._construct(vocab, merges, letters)
+        self._spell(letters)
         self._tabulate()
-        self._spell(letters, vocab)
+        trim()
 
     # ---- the merge gadgets ----
 
@@ -172,10 +199,10 @@ class TokenAutomaton:
         self.state_of[rows] = state_of_row + 1
         self.column_of = column
         self.id_of = np.array([t[0] for t in self.tokens], np.int32)
-        del self._cuts, self._copied
+        del self._cuts, self._copied, self.tokens
 
-    def _spell(self, letters: list[str], vocab: dict[str, int]) -> None:
-        """The trie: sorted keys (node, letter), the child of each, and the token that ends at each node."""
+    def _spell(self, letters: list[str]) -> None:
+        """The trie: hashed keys (node, letter), the child of each, and the token that ends at each node."""
         self.letter = {s: i for i, s in enumerate(letters)}
         child: dict[int, int] = {}
         token_at = [-1]
@@ -192,19 +219,30 @@ class TokenAutomaton:
                     token_at.append(-1)
             token_at[node] = t
         keys = np.fromiter(child.keys(), np.int64, len(child))
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.fromiter(child.values(), np.int64, len(child))[order].astype(np.int32)
+        self.keys, self.child = _hashed(keys, np.fromiter(child.values(), np.int32, len(child)))
         self.token_at = np.array(token_at, np.int32)
-        inner = np.zeros(len(token_at), bool)
-        inner[self.keys // self.width] = True
-        self.inner = inner
-        #: The first letter is looked up without a search.
-        first = np.arange(self.width)
-        at = np.minimum(np.searchsorted(self.keys, first), len(self.keys) - 1)
-        self.first_node = np.where(self.keys[at] == first, self.child[at], -1)
+        self.inner = np.zeros(len(token_at), bool)
+        self.inner[keys // self.width] = True
+        self.first_node = np.array([child.get(x, -1) for x in range(self.width)])
 
     # ---- words to paths ----
 
+    def _children(self, key: np.ndarray) -> np.ndarray:
+        """The child at each key, -1 if there is none."""
+        slot = _slot(key, len(self.keys))
+        held = self.keys[slot]
+        out = np.where(held == key, self.child[slot], -1)
+        left = np.flatnonzero((held != key) & (held >= 0))  # another key took the slot
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & len(self.keys) - 1
+            held = self.keys[slot]
+            hit = held == key[left]
+            out[left[hit]] = self.child[slot[hit]]
+            on = ~hit & (held >= 0)
+            left, slot = left[on], slot[on]
+        return out
+
     def paths(self, letters: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the paths of many words, one after another, and where each begins.
 
@@ -227,14 +265,13 @@ class TokenAutomaton:
             found.append((at[hit], token[hit], np.full(len(hit), long, np.int32)))
             on = np.flatnonzero((left[at] > long) & (node >= 0) & self.inner[node])
             at, node = at[on], node[on]
-            key = node.astype(np.int64) * self.width + letters[at + long]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            same = np.flatnonzero(self.keys[place] == key)
-            at, node = at[same], self.child[place[same]]
+            node = self._children(node.astype(np.int64) * self.width + letters[at + long])
+            same = np.flatnonzero(node >= 0)
+            at, node = at[same], node[same]
             long += 1
         begin, token, length = (np.concatenate(part) for part in zip(*found))
         place = begin - offsets[:-1][word[begin]]
-        order = np.argsort(place, kind="stable")
+        order = _by_small(place)
         begin, token, length, place = begin[order], token[order], length[order], place[order]
         # All words go on from their i-th place together; a word of n letters has n + 1 places.
         spot = begin + word[begin]
@@ -250,7 +287,7 @@ class TokenAutomaton:
             to = spot[ok] + length[ok]
             state[to], came[to] = reached[ok], token[ok]
         # Back from the ends.
-        long_of = np.zeros(len(self.tokens), np.int32)
+        long_of = np.zeros(len(self.id_of), np.int32)
         long_of[token] = length
         spot, start = offsets[1:] + np.arange(len(n)), offsets[:-1] + np.arange(len(n))
         if (came[spot] < 0).any():
@@ -264,7 +301,7 @@ class TokenAutomaton:
             on = np.flatnonzero(spot > start[live])
             live, spot = live[on], spot[on]
         owner, token = (np.concatenate(part) for part in zip(*steps))
-        order = np.argsort(owner[::-1], kind="stable")
+        order = _by_small(owner[::-1])
         first = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(owner, minlength=len(n)))))
         return self.id_of[token[::-1][order]], first
 
@@ -481,7 +518,7 @@ def encode_documents(docs: DataFrame, path: str, decoded: bool = False, most_byt
                     columns.append(own.decode_ids(ids, first).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(trimmed(run), schema)
 
 
 def byte_runs(batch: pa.RecordBatch, at: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -511,7 +548,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                 ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*rows.columns, own.decode_ids(ids, first).cast(pa.string())], names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(trimmed(run), schema)
 
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.sample import fold
-from mergeloom.llm.text import LOWER, Texts, chunks, gather
+from mergeloom.llm.text import LOWER, Texts, chunks, gather, trimmed
 from mergeloom.llm.toxicity import ENDS, _Adam, bag_means, subwords
 
 NGRAMS = (2, 3, 4)
@@ -237,5 +237,5 @@ def identify_languages(docs: DataFrame, settings: Settings | None = None, parts:
             named = pa.array([*languages, UNDETERMINED]).take(pa.array(np.where(label < 0, len(languages), label)))
             yield pa.RecordBatch.from_arrays([batch.column(0), named, pa.array(share)], ["doc_id", "lang_pred", "score"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "lang_pred", "score")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.sample import fold, labelled_sample
-from mergeloom.llm.text import RollingHash, Texts, chunks, mix
+from mergeloom.llm.text import RollingHash, Texts, chunks, mix, trimmed
 
 
 @dataclass
@@ -156,7 +156,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings | None
             score = score_texts(batch.column(1), *model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id"), parts) == held).alias("held_out"),

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.text import LOWER, Texts, chunks, gather
+from mergeloom.llm.text import LOWER, Texts, chunks, gather, trimmed
 from mergeloom.operators.components import components
 from mergeloom.runtime import written
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fp = shingle_fingerprints(batch.column(1), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:

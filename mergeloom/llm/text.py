@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers live on after a task, the driver after a model."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function over a task's batches that gives its memory back at the end."""
+
+    def to_the_end(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return to_the_end
+
+
 #: White space that ends a word: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

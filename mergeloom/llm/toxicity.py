@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.sample import fold, labelled_sample
-from mergeloom.llm.text import LOWER, SPACE, RollingHash, Texts, chunks, gather
+from mergeloom.llm.text import LOWER, SPACE, RollingHash, Texts, chunks, gather, trimmed
 
 #: Bytes that end a word: white space and marks.
 ENDS = SPACE.copy()
@@ -231,7 +231,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, source: DataFrame | None
             score = score_texts(batch.column(1), *model.value, window)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id"), parts) == held).alias("held_out"),
@@ -256,4 +256,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             score = score_texts(batch.column(at), *model.value, window)
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
