@@ -11,7 +11,7 @@ are labelled by forward-backward; its language is that with most of its words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.sample import fold
-from mergeloom.llm.text import LOWER, Texts, chunks, gather, trimmed
+from mergeloom.llm.sample import bounded, fold
+from mergeloom.llm.text import LOWER, Texts, chunks, gather, trim, trimmed
 from mergeloom.llm.toxicity import ENDS, _Adam, bag_means, subwords
 
 NGRAMS = (2, 3, 4)
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
-#: Languages beyond these would make a model too large to broadcast.
-MOST_LANGUAGES = 512
+#: More values than these name no languages: transitions between them alone would be too large a model.
+MOST_LANGUAGES = 4096
+#: Weights of features, over all languages, that a model holds at most.
+MOST_WEIGHTS = 1 << 24
 
 
 @dataclass
@@ -39,9 +41,9 @@ class Settings:
     #: Mean words from one splice to the next.
     splice: int = 12
     rate: float = 0.1
-    #: Bounds of the sample: texts of each language, and their bytes.
+    #: Bounds of the sample, of each language: texts, and bytes at which it ends.
     per_language: int = 600
-    max_bytes: int = 60_000
+    language_bytes: int = 8_000_000
 
 
 def fold_case(data: np.ndarray) -> np.ndarray:
@@ -53,32 +55,80 @@ def fold_case(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(emission: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    return x / x.sum(axis=axes, keepdims=True)
+
+
+def forward_backward(emission: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.ndarray, segment: int = 512) -> np.ndarray:
     """Marginals of each word's label.
 
     emission: positive factors, words x labels; sequences are first[i] to
     first[i + 1].  move: factors from label to label; start: of the first label.
-    All sequences take each step together.
+
+    All sequences take each step together.  Long ones take it in several places
+    at once: the steps of a segment are multiplied to one matrix, which carries
+    alpha over the segment forwards and beta backwards, so each segment knows
+    what enters it from either side.  That is exact, whatever ``segment``.
     """
-    length = np.diff(first)
+    n, labels = np.diff(first), emission.shape[1]
+    parts = np.maximum(-(-n // segment), 1)
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(parts)))  # of the first segment of each sequence
+    nth = np.arange(at[-1]) - np.repeat(at[:-1], parts)
+    begin = np.repeat(first[:-1], parts) + nth * segment
+    length = np.minimum(begin + segment, np.repeat(first[1:], parts)) - begin
     order = np.argsort(-length, kind="stable")
-    begin, length = first[:-1][order], length[order]
-    alpha = np.empty_like(emission)
-    beta = np.ones_like(emission)
-    steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(steps), side="left")  # sequences longer than t
+    steps = int(length.max(initial=0))
+    active = np.searchsorted(-length[order], -np.arange(steps), side="left")  # segments longer than t
+
+    enter = np.ones((len(begin), labels))  # alpha of the word before each segment, of its sequence
+    leave = np.ones((len(begin), labels))  # beta of its last word
+    several = np.flatnonzero(parts > 1)
+    if len(several):
+        # Alpha over first segments, as below, and the matrices of the others.
+        over = np.broadcast_to(np.eye(labels), (len(begin), labels, labels)).copy()
+        some = (parts > 1)[np.repeat(np.arange(len(n)), parts)]
+        heads = at[:-1][several]
+        alpha = _scaled(emission[begin[heads]] * start, (1,))
+        for t in range(1, segment):
+            alpha = _scaled(emission[begin[heads] + t] * (alpha @ move), (1,))
+        for t in range(steps):
+            live = order[: active[t]]
+            live = live[some[live] & (nth[live] > 0)]
+            if len(live):
+                over[live] = _scaled((over[live] @ move) * emission[begin[live] + t][:, None, :], (1, 2))
+        enter[heads + 1] = alpha
+        for k in range(2, int(parts.max())):
+            on = at[:-1][parts > k] + k
+            enter[on] = _scaled((enter[on - 1][:, None, :] @ over[on - 1])[:, 0], (1,))
+        for k in range(int(parts.max()) - 2, -1, -1):
+            on = at[:-1][parts > k + 1] + k
+            leave[on] = _scaled((over[on + 1] @ leave[on + 1][:, :, None])[:, :, 0], (1,))
+
+    out_alpha, out_beta = np.empty_like(emission), np.empty_like(emission)
+    head = (nth == 0)[order][:, None]
+    before = enter[order] @ move
     for t in range(steps):
-        at = begin[: active[t]] + t
-        now = emission[at] * (start if not t else alpha[at - 1] @ move)
-        alpha[at] = now / now.sum(axis=1, keepdims=True)
+        k = active[t]
+        word = begin[order[:k]] + t
+        now = emission[word] * (np.where(head[:k], start, before[:k]) if not t else out_alpha[word - 1] @ move)
+        out_alpha[word] = _scaled(now, (1,))
+    last = begin + length - 1
+    held = length > 0
+    out_beta[last[held]] = leave[held]
     for t in range(steps - 2, -1, -1):
-        at = begin[: active[t + 1]] + t
-        now = (emission[at + 1] * beta[at + 1]) @ move.T
-        beta[at] = now / now.sum(axis=1, keepdims=True)
-    out = alpha * beta
+        word = begin[order[: active[t + 1]]] + t
+        out_beta[word] = _scaled((emission[word + 1] * out_beta[word + 1]) @ move.T, (1,))
+    out = out_alpha * out_beta
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
 
 
+def expected_moves(alpha: np.ndarray, beta: np.ndarray, emission: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """How often each label is expected to follow each, over all neighbours of sequences x words x labels."""
+    go = alpha[:, :-1].reshape(-1, len(move))
+    come = (emission * beta)[:, 1:].reshape(-1, len(move))
+    return move * ((go / ((go @ move) * come).sum(axis=1, keepdims=True)).T @ come)
+
+
 def train(column: pa.Array, y: np.ndarray, labels: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights: features x labels, transitions, and those of the first word."""
     weights = np.zeros((1 << s.features_log2, labels), np.float32)
@@ -131,8 +181,7 @@ def train(column: pa.Array, y: np.ndarray, labels: int, s: Settings) -> tuple[np
             beta[:, t] = now / now.sum(axis=1, keepdims=True)
         marginal = alpha * beta
         marginal /= marginal.sum(axis=2, keepdims=True)
-        pair = alpha[:, :-1, :, None] * factor * (emission * beta)[:, 1:, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        pair = expected_moves(alpha, beta, emission, factor)
         truth = np.eye(labels)[gold]
         g = (marginal - truth) / words.size
         seen = np.einsum("bti,btj->ij", truth[:, :-1], truth[:, 1:])
@@ -140,36 +189,19 @@ def train(column: pa.Array, y: np.ndarray, labels: int, s: Settings) -> tuple[np
         to_weights = np.stack([np.bincount(item, np.repeat(to_word[:, k], n), len(weights)) for k in range(labels)], axis=1)
         adam.t += 1
         adam("weights", weights, to_weights.astype(np.float32) * 100)
-        adam("move", move, ((pair.sum(axis=(0, 1)) - seen) / words.size).astype(np.float32))
+        adam("move", move, ((pair - seen) / words.size).astype(np.float32))
         adam("start", start, (marginal[:, 0] - truth[:, 0]).mean(axis=0).astype(np.float32))
     return weights, move, start
 
 
-def label_words(texts: Texts, model: tuple[np.ndarray, np.ndarray, np.ndarray], segment: int = 1024, overlap: int = 32) -> np.ndarray:
-    """Marginals, words x languages, of the words of some texts (case folded).
-
-    Texts over ``segment`` words are labelled in segments with ``overlap`` words
-    of the neighbours on either side, whose own marginals come from there.
-    """
+def label_words(texts: Texts, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Marginals, words x languages, of the words of some whole texts (case folded)."""
     weights, move, start = model
     _, one, which = texts.distinct()
     bucket, first = subwords(texts.data, texts.start[one], texts.end[one], len(weights).bit_length() - 1, NGRAMS)
     score = bag_means(weights, bucket, first).astype(np.float64)
     emission = np.exp(score - score.max(axis=1, keepdims=True)) if len(score) else np.zeros((0, weights.shape[1]))
-    n = np.diff(texts.first)
-    parts = np.maximum(-(-n // segment), 1)
-    part_of = np.repeat(np.arange(len(n)), parts)
-    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    own_begin = texts.first[:-1][part_of] + k * segment
-    own_end = np.minimum(own_begin + segment, texts.first[1:][part_of])
-    begin = np.maximum(own_begin - overlap, texts.first[:-1][part_of])
-    end = np.minimum(own_end + overlap, texts.first[1:][part_of])
-    length = end - begin
-    cut = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
-    word = np.repeat(begin - cut[:-1], length) + np.arange(cut[-1])
-    out = forward_backward(emission[which[word]], cut, np.exp(move.astype(float)), np.exp(start.astype(float)))
-    own = (word >= np.repeat(own_begin, length)) & (word < np.repeat(own_end, length))
-    return out[own]
+    return forward_backward(emission[which], texts.first, np.exp(move.astype(float)), np.exp(start.astype(float)))
 
 
 def predict(column: pa.Array, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,32 +234,43 @@ def predict(column: pa.Array, model: tuple[np.ndarray, np.ndarray, np.ndarray])
 
 def known_texts(docs: DataFrame, learn: Column, settings: Settings) -> tuple[pa.ChunkedArray, np.ndarray, list[str]]:
     """Texts, labels and languages of a sample: about per_language documents of each language, by their hash."""
-    known = docs.where(learn & F.col("lang").isNotNull() & (F.octet_length("text").between(1, settings.max_bytes)))
+    known = docs.where(learn & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     names = sorted(counts)
     if not names:
         return pa.chunked_array([[]], pa.string()), np.zeros(0, np.int64), []
-    share = F.coalesce(*[F.when(F.col("lang") == k, settings.per_language / n) for k, n in counts.items()])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    most = 2 * settings.per_language * len(names)
-    table = known.where(draw < share).select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).toArrow()
+    shares = known.sparkSession.createDataFrame([(k, settings.per_language / n) for k, n in counts.items()], "lang string, share double")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    drawn = known.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # MOST_LANGUAGES rows
+    table = bounded(drawn, "lang", settings.language_bytes)
     return table.column("text"), np.searchsorted(np.array(names), table.column("lang").to_pylist()), names
 
 
+def sized(settings: Settings, languages: int) -> Settings:
+    return replace(settings, features_log2=min(settings.features_log2, (MOST_WEIGHTS // languages).bit_length() - 1))
+
+
 def identify_languages(docs: DataFrame, settings: Settings | None = None, parts: int = 4, held: int = 2) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score (the share of its words in that language).
 
     Learned from text and lang of documents outside the held-out fold,
-    crc32(doc_id as text) mod parts = held, where lang is not null.  A text that
-    is null or has no letter is ``und`` with score 0, as is every text if no
-    language is known.  Repeated rows get equal results; other columns are not
-    read.  An empty table gives an empty table.
+    crc32(doc_id as text) mod parts = held, where lang is not null: about
+    settings.per_language of each language, those of the least hash, up to the
+    one that brings the language to settings.language_bytes.  A text that is null
+    or has no letter is ``und`` with score 0, as is every text if no language is
+    known.  A text of any length is labelled whole; of languages with equal shares
+    of its words the first in code-point order is named.  Repeated rows get equal
+    results; other columns are not read.  An empty table gives an empty table.
+    Over MOST_LANGUAGES different values of lang are an error; a model of many
+    languages has fewer features, MOST_WEIGHTS weights in all.
     """
     settings = settings or Settings()
     texts, y, names = known_texts(docs, fold(F.col("doc_id"), parts) != held, settings)
-    trained = train(texts, y, max(1, len(names)), settings) if names else None
+    trained = train(texts, y, len(names), sized(settings, len(names))) if names else None
+    del texts
+    trim()
     model = docs.sparkSession.sparkContext.broadcast((trained, names))  # 2**features_log2 rows of a float for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.sample import fold, labelled_sample
-from mergeloom.llm.text import RollingHash, Texts, chunks, mix, trimmed
+from mergeloom.llm.text import RollingHash, Texts, chunks, mix, trim, trimmed
 
 
 @dataclass
@@ -28,9 +28,9 @@ class Settings:
     #: The bound of the dual variables.
     cost: float = 1.0
     epochs: int = 20
-    #: Bounds of the labelled sample.
+    #: Bounds of the labelled sample, of each class: documents, and bytes at which it ends.
     per_class: int = 2500
-    max_bytes: int = 100_000
+    class_bytes: int = 24_000_000
 
 
 #: Kinds of bytes: A-Z, a-z and others of letters, digits, and each other byte its own.
@@ -141,15 +141,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings | None
 
     Labels are learned from documents outside the held-out fold, crc32(doc_id as
     text) mod parts = held; at most settings.per_class of each class, those of
-    the least hash.  Labels of one class only, or none, give all texts one
-    score.  Null, empty and blank texts have no features: their score is that of
-    the curve's offset.  Repeated rows get equal scores; other columns are not
+    the least hash, up to the one that brings the class to settings.class_bytes.
+    Labels of one class only, or none, give all texts one score.  Null, empty and
+    blank texts have no features: their score is that of the curve's offset.  A
+    text of any length is scored whole; a score that ties with the threshold is
+    predicted 1.  Repeated rows get equal scores; other columns are not
     read.  An empty table gives an empty table.
     """
     settings = settings or Settings()
     learn = fold(F.col("doc_id"), parts) != held
-    texts, y = labelled_sample(docs, labels, "quality", learn, settings.per_class, settings.max_bytes)
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, y, settings))  # 2**features_log2 pairs of floats
+    texts, y = labelled_sample(docs, labels, "quality", learn, settings.per_class, settings.class_bytes)
+    trained = train(texts, y, settings)
+    del texts
+    trim()
+    model = docs.sparkSession.sparkContext.broadcast(trained)  # 2**features_log2 pairs of floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergeloom.runtime import written
+
 
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; null counts as the empty text."""
@@ -23,19 +25,44 @@ def labelled_ids(labels: DataFrame, label: str, learn: Column, per_class: int) -
     return first[0].union(first[1])
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_bytes: int
-) -> tuple[pa.ChunkedArray, np.ndarray]:
+def within(sizes: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+    """Which rows stay: of each group, the first, in the order given, until they reach ``most`` bytes together."""
+    keep = np.zeros(len(sizes), bool)
+    for g in np.unique(group):
+        rows = np.flatnonzero(group == g)
+        before = np.cumsum(sizes[rows]) - sizes[rows]
+        keep[rows[before < most]] = True
+    return keep
+
+
+def bounded(found: DataFrame, name: str, most: int) -> pa.Table:
+    """(doc_id, text, <name>) of found in the order of xxhash64(doc_id), each class as long as its texts stay below ``most`` bytes.
+
+    The text that passes the bound is still in: a text is left out for its
+    place in the order, never for its length.  A doc_id counts once in a class,
+    with the least of its texts.
+    """
+    held = written(found.groupBy("doc_id", name).agg(F.min("text").alias("text")), "sample")
+    order = F.xxhash64("doc_id")
+    sizes = held.select(order.alias("at"), "doc_id", name, F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).toArrow()
+    sizes = sizes.sort_by([("at", "ascending"), ("doc_id", "ascending"), (name, "ascending")])
+    _, group = np.unique(np.array(sizes.column(name).to_pylist()), return_inverse=True)
+    keep = within(sizes.column("bytes").to_numpy(), group, most)
+    if not keep.all():
+        chosen = held.sparkSession.createDataFrame(sizes.select(["doc_id", name]).filter(pa.array(keep)))
+        held = held.join(F.broadcast(chosen), ["doc_id", name])
+    table = held.select("doc_id", "text", name, order.alias("at")).toArrow()
+    return table.sort_by([("at", "ascending"), ("doc_id", "ascending"), (name, "ascending")]).drop_columns("at")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, class_bytes: int) -> tuple[pa.ChunkedArray, np.ndarray]:
     """Texts and 0/1 labels of up to per_class rows of each class, those of the least xxhash64(doc_id).
 
-    learn: a condition on doc_id.  Texts over max_bytes are left out, so that the
-    driver holds at most 2 x per_class x max_bytes.  Rows that repeat a doc_id count once.
+    learn: a condition on doc_id.  A class ends with the text that brings it to
+    class_bytes, so that the driver holds 2 x class_bytes and two texts at most.
+    Rows that repeat a doc_id count once.
     """
     ids = labelled_ids(labels, label, learn, per_class)
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    found = texts.join(F.broadcast(ids), "doc_id")  # 2 x per_class rows of two numbers
-    table = found.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    doc_id = table.column("doc_id").to_numpy()
-    first = np.flatnonzero(np.diff(doc_id, prepend=doc_id[0] - 1)) if len(doc_id) else np.zeros(0, np.int64)
-    table = table.take(pa.array(first))
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # 2 x per_class rows of two numbers
+    table = bounded(found, "y", class_bytes)
     return table.column("text"), table.column("y").to_numpy().astype(np.int64)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.llm.sample import fold, labelled_sample
-from mergeloom.llm.text import LOWER, SPACE, RollingHash, Texts, chunks, gather, trimmed
+from mergeloom.llm.text import LOWER, SPACE, RollingHash, Texts, chunks, gather, trim, trimmed
 
 #: Bytes that end a word: white space and marks.
 ENDS = SPACE.copy()
@@ -41,9 +41,9 @@ class Settings:
     #: Worst windows of each document of class 0 and of class 1 that are trained on.
     worst: tuple[int, int] = (4, 2)
     rate: float = 0.05
-    #: Bounds of the labelled sample.
+    #: Bounds of the labelled sample, of each class: documents, and bytes at which it ends.
     per_class: int = 4000
-    max_bytes: int = 200_000
+    class_bytes: int = 24_000_000
 
 
 def subwords(
@@ -213,16 +213,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, source: DataFrame | None
 
     Labels are learned from documents of ``source`` (docs itself by default)
     outside the held-out fold, crc32(doc_id as text) mod parts = held; at most
-    settings.per_class of each class, those of the least hash.  With labels of
-    one class only, or none, every score is 0, nearly.  Null, empty and blank
-    texts are averages of nothing: they get the score of the bias.  Repeated
+    settings.per_class of each class, those of the least hash, up to the one that
+    brings the class to settings.class_bytes.  With labels of one class only, or
+    none, every score is 0, nearly.  Null, empty and blank texts are averages of
+    nothing: they get the score of the bias.  A text of any length is scored
+    whole, in all its windows; if several tie for the worst, the score is theirs.  Repeated
     rows get equal scores; other columns are not read.  An empty table gives an
     empty table.
     """
     settings = settings or Settings()
     learn = fold(F.col("doc_id"), parts) != held
-    texts, y = labelled_sample(docs if source is None else source, labels, "toxic", learn, settings.per_class, settings.max_bytes)
+    texts, y = labelled_sample(docs if source is None else source, labels, "toxic", learn, settings.per_class, settings.class_bytes)
     per_bucket, bias = train(texts, y, settings)
+    del texts
+    trim()
     model = docs.sparkSession.sparkContext.broadcast((per_bucket, bias))  # 2**buckets_log2 floats, whatever the corpus
     window = settings.window
 
@@ -246,8 +250,10 @@ def keep_civil(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     threshold = options.pop("threshold", 0.7)
     parts, held = options.pop("parts", 3), options.pop("held", 1)
     learn = fold(F.col("doc_id"), parts) != held
-    texts, y = labelled_sample(docs, labels, "toxic", learn, settings.per_class, settings.max_bytes)
+    texts, y = labelled_sample(docs, labels, "toxic", learn, settings.per_class, settings.class_bytes)
     per_bucket, bias = train(texts, y, settings)
+    del texts
+    trim()
     model = docs.sparkSession.sparkContext.broadcast((per_bucket, bias))
     window, at = settings.window, docs.columns.index("text")
 

@@ -516,6 +516,75 @@ def test_forward_backward_against_enumeration():
         assert np.allclose(got[a:b], total / total.sum(axis=1, keepdims=True))
 
 
+def plain_marginals(emission, move, start):
+    """Forward-backward, word by word."""
+    n = len(emission)
+    alpha, beta = np.zeros_like(emission), np.ones_like(emission)
+    for t in range(n):
+        alpha[t] = emission[t] * (start if t == 0 else alpha[t - 1] @ move)
+        alpha[t] /= alpha[t].sum()
+    for t in range(n - 2, -1, -1):
+        beta[t] = move @ (emission[t + 1] * beta[t + 1])
+        beta[t] /= beta[t].sum()
+    out = alpha * beta
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_forward_backward_of_long_texts_is_exact():
+    rng = np.random.default_rng(4)
+    length = [5000, 0, 1, 513, 512, 1024, 3]
+    emission, move, start = rng.random((sum(length), 3)) ** 4 + 1e-4, np.eye(3) * 9 + rng.random((3, 3)), rng.random(3)
+    first = np.concatenate(([0], np.cumsum(length)))
+    for segment in (512, 7, 1 << 20):
+        got = langid.forward_backward(emission, first, move, start, segment)
+        for a, b in zip(first[:-1], first[1:]):
+            assert np.allclose(got[a:b], plain_marginals(emission[a:b], move, start), atol=1e-12)
+
+
+def test_language_training_follows_the_gradient():
+    """One step of training lowers the loss as finite differences say: the gradient of transitions against them."""
+    rng = np.random.default_rng(2)
+    emission, move, gold = np.exp(rng.normal(size=(6, 3))), rng.normal(size=(3, 3)), rng.integers(0, 3, 6)
+
+    def loss(m):
+        f = np.exp(m)
+        alpha, total = emission[0].copy(), 0.0
+        for t in range(1, 6):
+            total, alpha = total + np.log(alpha.sum()), alpha / alpha.sum()
+            alpha = emission[t] * (alpha @ f)
+        score = np.log(emission[range(6), gold]).sum() + m[gold[:-1], gold[1:]].sum()
+        return total + np.log(alpha.sum()) - score
+
+    factor = np.exp(move)
+    alpha, beta = np.empty_like(emission), np.ones_like(emission)
+    for t in range(6):
+        alpha[t] = emission[t] * (1 if t == 0 else alpha[t - 1] @ factor)
+    for t in range(4, -1, -1):
+        beta[t] = factor @ (emission[t + 1] * beta[t + 1])
+    got = langid.expected_moves(alpha[None], beta[None], emission[None], factor)
+    np.subtract.at(got, (gold[:-1], gold[1:]), 1)
+    for i in range(3):
+        for j in range(3):
+            step = np.zeros((3, 3))
+            step[i, j] = 1e-5
+            assert got[i, j] == pytest.approx((loss(move + step) - loss(move - step)) / 2e-5, abs=1e-6)
+
+
+def test_samples_leave_no_length_out(spark):
+    """The sample ends with the text that passes the bound; a long text is in it as its place in the order says."""
+    from mergeloom.llm.sample import labelled_sample
+
+    rows = [(i, "x" * (50_000 if i % 10 == 0 else 100)) for i in range(200)] + [(3, "w" * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    texts, y = labelled_sample(docs, labels, "quality", F.lit(True), 1000, 10**9)
+    assert len(y) == 200 and sum(len(t) == 50_000 for t in texts.to_pylist()) == 20 and "w" * 100 in texts.to_pylist()
+    texts, y = labelled_sample(docs, labels, "quality", F.lit(True), 1000, 120_000)
+    sizes = [sum(len(t) for t, k in zip(texts.to_pylist(), y) if k == label) for label in (0, 1)]
+    assert 120_000 <= sizes[0] < 170_000 and sizes[1] == 100 * 100
+    assert len(labelled_sample(docs, labels, "quality", F.lit(True), 30, 10**9)[1]) == 60
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     """Each stage against a brute-force version of it, on its own input."""
     sf = str(tmp_path)
