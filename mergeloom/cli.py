@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
@@ -11,12 +12,12 @@ from pyspark.sql.utils import AnalysisException
 
 from mergeloom.operators import entity
 from mergeloom.operators.dedup import DedupError, deduplicate
-from mergeloom.operators.profile import profile_table
+from mergeloom.operators.profile import profile_file
 from mergeloom.operators.union import Merged, UnionError, check_unique_names, unify
 from mergeloom.operators.validate import Settings, validate
 from mergeloom.plans.contracts import ContractError, Mapping, TargetSchema, dump_clusters, dump_mapping, load_clusters, load_mapping, load_schema
 from mergeloom.plans.guards import apply_guards
-from mergeloom.plans.propose import FileProfile, propose, provider_from_environment
+from mergeloom.plans.propose import FileProfile, embedder_from_environment, propose, provider_from_environment
 from mergeloom.sources.sinks import write_merged
 from mergeloom.sources.tables import SourceError, locate_schema, locate_sources, read_tables
 
@@ -78,9 +79,9 @@ def _stopped_for_review(mapping: Mapping) -> bool:
 def _profile(spark, args, provider) -> int:
     if args.sheet and Path(args.input).suffix.lower() != ".xlsx":
         raise SourceError("only workbooks have sheets")
-    for t in read_tables(spark, args.input, args.sheet):
+    for t, profile in profile_file(spark, args.input, args.sheet):
         print(f"{t.label}: {t.df.count()} rows")
-        for r in profile_table(t.df, t.label).collect():
+        for r in profile.collect():
             print(f"  {r['name']}: type={r['inferred_type']}, null_ratio={r['null_ratio']:.2%}, unique={r['unique_count']}, samples={r['samples']}, min={r['min']}, max={r['max']}, pattern={r['format_pattern']}")
     return DONE
 
@@ -91,8 +92,8 @@ def _analyze(spark, args, provider) -> int:
     profiles = []
     for f in args.inputs:
         rows: dict[str, dict] = {}
-        for t in read_tables(spark, f, args.sheet if Path(f).suffix.lower() == ".xlsx" else None):
-            for r in profile_table(t.df, t.label).collect():
+        for _, profile in profile_file(spark, f, args.sheet if Path(f).suffix.lower() == ".xlsx" else None):
+            for r in profile.collect():
                 rows.setdefault(r["name"], r.asDict())
         profiles.append(FileProfile(Path(f).name, list(rows.values())))
     mapping = propose(profiles, schema, provider or provider_from_environment())
@@ -114,10 +115,12 @@ def _cluster(spark, args, provider) -> int:
         raise SourceError(f"{args.column} is {'no target column' if kind is None else 'not a string column'}")
     records = entity.written(entity.value_frequency(merged.df, args.column, ("_file_idx", "_sheet_idx", "_row_idx")), "values")
     blocked = entity.with_blocks(records, args.strategy)
-    decisions = entity.score_pairs(entity.candidate_pairs(blocked), blocked, thresholds=thresholds)
-    decisions = entity.written(decisions, "decisions")
-    if provider and not args.no_llm:
-        decisions = entity.advise(decisions, provider.complete, thresholds)
+    if args.no_llm:
+        provider = None
+    elif provider is None and os.environ.get("LLM_PROVIDER"):
+        provider = provider_from_environment()
+    decisions = entity.resolve_pairs(blocked, embedder_from_environment(), provider.complete if provider else None, thresholds, include_unblocked=False)
+    records = blocked.select("idx", "value", "row_count", "key")
     plan = entity.cluster_plan(decisions, records, args.column)
     dump_clusters(plan, args.out)
     print(f"{args.out}: {len(plan.approved())} approved, {len(plan.pending())} for review")

@@ -6,7 +6,7 @@ or does not fit, and whether it was there but did not fit.  Digits are ASCII.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +22,19 @@ LOGICAL_TYPES = {
 TRUE_WORDS = ("true", "yes", "evet", "1")
 FALSE_WORDS = ("false", "no", "hayir", "hayır", "0")
 
-#: Notations of numbers, and what turns each into one that casts: (pattern, characters dropped, comma to point).
-NOTATIONS = (
-    ("plain", r"[+-]?\d+(?:\.\d+)?", "", False),
-    ("tr_grouped", r"[+-]?\d{1,3}(?:\.\d{3})+,\d+", ".", True),
-    ("en_grouped", r"[+-]?\d{1,3}(?:,\d{3})+\.\d+", ",", False),
-    ("tr", r"[+-]?\d+,\d+", "", True),
-)
+#: White space of Unicode.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SIGN, DIGITS = "[+-]?", r"\d+"
+
+
+def marked(point: str) -> str:
+    """Numbers with a fraction behind a mark."""
+    return rf"{SIGN}{DIGITS}[{point}]{DIGITS}"
+
+
+def grouped(mark: str, point: str) -> str:
+    """Numbers with a fraction, whose whole part is in groups of three."""
+    return rf"{SIGN}\d{{1,3}}(?:[{mark}]\d{{3}})+[{point}]{DIGITS}"
 
 
 def whole(pattern: str) -> str:
@@ -37,7 +43,7 @@ def whole(pattern: str) -> str:
 
 def bare(cell: Column) -> Column:
     """The cell without white space, of Unicode, at its ends."""
-    return F.regexp_replace(cell, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(cell, F.lit(BLANKS))
 
 
 def is_missing(cell: Column) -> Column:
@@ -45,38 +51,40 @@ def is_missing(cell: Column) -> Column:
 
 
 def plain_number(cell: Column) -> Column:
-    """The number in point notation, NULL if the cell is no number."""
-    text = F.translate(bare(cell), "  ", "")
-    out = F.lit(None).cast("string")
-    for _, pattern, dropped, comma in reversed(NOTATIONS):
-        number = F.translate(text, dropped, "") if dropped else text
-        out = F.when(text.rlike(whole(pattern)), F.translate(number, ",", ".") if comma else number).otherwise(out)
-    return out
+    """The number in point notation, NULL if the cell is no number.
+
+    Which marks there are, and which comes first, leaves one notation to test.
+    """
+    text = F.translate(bare(cell), "\u00a0 ", "")
+    comma, point = F.instr(text, ","), F.instr(text, ".")
+    fits = lambda pattern: text.rlike(whole(pattern))
+    return (
+        F.when(comma == 0, F.when(fits(rf"{SIGN}{DIGITS}(?:[.]{DIGITS})?"), text))
+        .when(point == 0, F.when(fits(marked(",")), F.translate(text, ",", ".")))
+        .when(point < comma, F.when(fits(grouped(".", ",")), F.translate(text, ",.", ".")))
+        .otherwise(F.when(fits(grouped(",", ".")), F.translate(text, ",", "")))
+    )
 
 
 def to_decimal(cell: Column) -> Column:
-    value = plain_number(cell).try_cast("double")
-    return F.when(F.abs(value) != F.lit(float("inf")), value)
+    return F.nullif(F.nullif(plain_number(cell).try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def to_integer(cell: Column) -> Column:
     """Of numbers without a fraction; beyond 64 bits they do not fit."""
-    number = plain_number(cell)
-    return F.when(number.rlike(whole(r"[+-]?\d+(?:\.0+)?")), F.regexp_extract(number, r"^[+-]?\d+", 0).try_cast("bigint"))
+    return F.nullif(F.regexp_extract(plain_number(cell), whole(rf"({SIGN}{DIGITS})(?:[.]0+)?"), 1), F.lit("")).try_cast("bigint")
+
+
+_CLOCK = r"(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.]\d{3}(?:\d{3})?)?)?)?(?:Z|[+-]\d{2}:?\d{2})?"
 
 
 def to_date(cell: Column) -> Column:
     """Day first with points or slashes, or ISO, with or without a time, whose zone moves no date."""
     text = bare(cell)
-    iso = r"\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:\.\d{3}(?:\d{3})?)?)?)?(?:Z|[+-]\d{2}:?\d{2})?)?"
-    clock = F.coalesce(F.regexp_extract(text, r"^.{10}[T ](\d{2})(?::(\d{2}))?(?::(\d{2}))?", 1).try_cast("int"), F.lit(0)) < 24
-    minute = F.coalesce(F.regexp_extract(text, r"^.{10}[T ]\d{2}:(\d{2})", 1).try_cast("int"), F.lit(0)) < 60
-    second = F.coalesce(F.regexp_extract(text, r"^.{10}[T ]\d{2}:\d{2}:(\d{2})", 1).try_cast("int"), F.lit(0)) < 60
-    return (
-        F.when(text.rlike(whole(r"\d{1,2}\.\d{1,2}\.\d{4}")), F.try_to_date(text, "d.M.yyyy"))
-        .when(text.rlike(whole(r"\d{1,2}/\d{1,2}/\d{4}")), F.try_to_date(text, "d/M/yyyy"))
-        .when(text.rlike(whole(iso)) & clock & minute & second, F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
-    )
+    day_first = lambda mark: F.when(text.rlike(whole(rf"\d{{1,2}}[{mark}]\d{{1,2}}[{mark}]\d{{4}}")), F.try_to_date(text, f"d{mark}M{mark}yyyy"))
+    iso = F.when(text.rlike(whole(rf"\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]{_CLOCK})?")), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+    # An ISO date has its first mark in the fifth place.
+    return F.when(F.substring(text, 5, 1) == "-", iso).when(F.instr(text, "/") > 0, day_first("/")).otherwise(day_first("."))
 
 
 def to_boolean(cell: Column) -> Column:
@@ -87,6 +95,27 @@ def to_boolean(cell: Column) -> Column:
 _CONVERT = {"string": lambda c: c, "integer": to_integer, "decimal": to_decimal, "date": to_date, "boolean": to_boolean}
 
 
+def _value(cell: Column, logical: str) -> Column:
+    """Of a text cell.  No conversion but text's takes a missing cell for a value."""
+    return F.when(~is_missing(cell), cell) if logical == "string" else _CONVERT[logical](cell)
+
+
+def coerce_columns(df: DataFrame, cells: dict[str, tuple[Column, str, T.DataType | None]]) -> DataFrame:
+    """df with, for each name of cells, that column and _bad_<name>: what coerce gives, every cell and value worked out once.
+
+    Each step is a projection of its own, whose columns the next one mentions
+    more than once; such projections are not folded into each other.
+    """
+    held = df.withColumns({f"__cell_{n}": cell for n, (cell, _, _) in cells.items()})
+    pairs = {n: coerce(F.col(f"`__cell_{n}`"), logical, kind) for n, (_, logical, kind) in cells.items()}
+    text = lambda kind: kind is None or isinstance(kind, T.StringType)
+    held = held.withColumns({n: value for n, (value, _) in pairs.items()})
+    bads = {}
+    for n, (_, _, kind) in cells.items():
+        bads[f"_bad_{n}"] = (F.col(f"`{n}`").isNull() & ~is_missing(F.col(f"`__cell_{n}`"))) if text(kind) else pairs[n][1]
+    return held.withColumns(bads).drop(*[f"__cell_{n}" for n in cells])
+
+
 def coerce(cell: Column, logical: str, kind: T.DataType | None = None) -> tuple[Column, Column]:
     """(value, bad) of a cell.
 
@@ -96,9 +125,8 @@ def coerce(cell: Column, logical: str, kind: T.DataType | None = None) -> tuple[
     if logical not in _CONVERT:
         raise ValueError(f"unknown type {logical!r}")
     if kind is None or isinstance(kind, T.StringType):
-        gone = is_missing(cell)
-        value = F.when(~gone, _CONVERT[logical](cell))
-        return value, ~gone & value.isNull()
+        value = _value(cell, logical)
+        return value, value.isNull() & ~is_missing(cell)
     gone = cell.isNull()
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         gone = gone | F.isnan(cell)

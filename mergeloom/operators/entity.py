@@ -77,18 +77,26 @@ def pair_count(blocked: DataFrame, include_unblocked: bool = False) -> DataFrame
 
 
 def candidate_pairs(blocked: DataFrame, include_unblocked: bool = False, idx: str = "idx") -> DataFrame:
-    """Pairs within blocks, the smaller idx left.  A shuffled join: a large block is split by adaptive execution."""
+    """Pairs within blocks, the smaller idx left.
+
+    Keys are worked out once, into a table; the join is a shuffled one, in which
+    adaptive execution splits a large block.  A block of n rows gives n(n-1)/2
+    pairs, which pair_count tells beforehand.
+    """
     rows = blocked if include_unblocked else blocked.where(F.col("block") != UNBLOCKED)
+    rows = written(rows.select("block", idx, "value", "key"), "blocked")
     side = lambda name: rows.select("block", *[F.col(c).alias(f"{name}_{c}") for c in (idx, "value", "key")])
     return side("left").join(side("right"), "block").where(F.col(f"left_{idx}") < F.col(f"right_{idx}"))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity within 0 and 1; 0 for a vector without length."""
+    """Cosine similarity within 0 and 1; 0 for a vector without length; NULL if the lengths differ or a component is NULL."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     dot = total(F.zip_with(a, b, lambda x, y: x * y))
     size = F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x)))
-    return F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / size)))
+    both = F.transform(F.array(F.struct(dot.alias("dot"), size.alias("size"))), lambda m: F.when(m["dot"].isNull(), None).when(m["size"] == 0, 0.0).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), m["dot"] / m["size"]))))
+    return F.when(F.size(a) == F.size(b), both[0])
 
 
 def classify(pairs: DataFrame, thresholds: Thresholds | None = None, known: Column | None = None) -> DataFrame:
@@ -132,15 +140,26 @@ def embed_keys(keys: DataFrame, embedder: Embedder) -> DataFrame:
         for batch in batches:
             texts = batch["key"].tolist()
             vectors = [[float(x) for x in v] for v in embedder(texts)]
-            if len(vectors) != len(texts) or not all(vectors) or len({len(v) for v in vectors}) > 1:
-                raise ValueError("the embedder must give one non-empty vector for each text, all of one length")
+            if len(vectors) != len(texts):
+                raise ValueError(f"the embedder gave {len(vectors)} vectors for {len(texts)} texts")
             yield pd.DataFrame({"key": texts, "vector": vectors})
 
     return keys.where("key <> ''").select("key").distinct().mapInPandas(run, "key string, vector array<double>")
 
 
+def check_vectors(vectors: DataFrame) -> None:
+    """Refuse vectors that are empty, of different lengths, or have a component that is no number."""
+    v = F.col("vector")
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    low, high, wrong = vectors.agg(F.min(F.size(v)), F.max(F.size(v)), F.bool_or(F.coalesce(odd, F.lit(True)))).first()
+    if low is not None and (low != high or low < 1 or wrong):
+        raise ValueError("the embedder must give one non-empty vector of numbers for each text, all of one length")
+
+
 def score_pairs(pairs: DataFrame, blocked: DataFrame, embedder: Embedder = hashed_ngrams, thresholds: Thresholds | None = None) -> DataFrame:
+    """pairs with similarity, decision, status, source and grey; a pair with an empty key is left to a person."""
     vectors = written(embed_keys(blocked, embedder), "vectors")
+    check_vectors(vectors)
     left = vectors.select(F.col("key").alias("left_key"), F.col("vector").alias("left_vector"))
     right = vectors.select(F.col("key").alias("right_key"), F.col("vector").alias("right_vector"))
     joined = pairs.join(left, "left_key", "left").join(right, "right_key", "left")
@@ -188,21 +207,39 @@ def parse_advice(answer: str, floor: float = 0.5) -> tuple[str, float | None, st
     return ("undecided" if confidence < floor else "same" if same else "different"), float(confidence), reason
 
 
-def advise(decisions: DataFrame, complete: Callable[[str, str], str], thresholds: Thresholds | None = None, most: int = 10_000) -> DataFrame:
-    """decisions with suggestion, confidence and reason for grey pairs, one call for each; their status stays review."""
+def advise(decisions: DataFrame, complete: Callable[[str, str], str], thresholds: Thresholds | None = None) -> DataFrame:
+    """decisions with suggestion, confidence and advice for grey pairs, however many; their status stays review.
+
+    Executors make the calls, one for each pair, and their answers are written
+    before anything reads them, so that no pair is asked about twice.
+    """
     floor = (thresholds or Thresholds()).advice_floor
-    grey = decisions.where("grey").select("left_idx", "right_idx", "left_value", "right_value").limit(most + 1).collect()
-    if len(grey) > most:
-        raise ValueError(f"over {most} grey pairs: raise low or lower high")
-    rows = []
-    for g in sorted(grey):
-        try:
-            verdict = parse_advice(complete(ADVICE_PROMPT, json.dumps([g["left_value"], g["right_value"]], ensure_ascii=False)), floor)
-        except Exception as e:  # a provider may fail in any way; the pair then waits for a person
-            verdict = ("undecided", None, f"no answer: {e}")
-        rows.append((g["left_idx"], g["right_idx"], *verdict))
-    said = decisions.sparkSession.createDataFrame(rows, "left_idx long, right_idx long, suggestion string, confidence double, advice string")
-    return decisions.join(F.broadcast(said), ["left_idx", "right_idx"], "left")
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            said = []
+            for left, right in zip(batch["left_value"], batch["right_value"]):
+                try:
+                    said.append(parse_advice(complete(ADVICE_PROMPT, json.dumps([left, right], ensure_ascii=False)), floor))
+                except Exception as e:  # a provider may fail in any way; the pair then waits for a person
+                    said.append(("undecided", None, f"no answer: {e}"))
+            suggestion, confidence, advice = zip(*said) if said else ((), (), ())
+            yield pd.DataFrame({"left_idx": batch["left_idx"], "right_idx": batch["right_idx"], "suggestion": suggestion, "confidence": pd.Series(confidence, dtype="float64"), "advice": advice})
+
+    kinds = {f.name: f.dataType.simpleString() for f in decisions.schema.fields}
+    schema = f"left_idx {kinds['left_idx']}, right_idx {kinds['right_idx']}, suggestion string, confidence double, advice string"
+    grey = decisions.where("grey").select("left_idx", "right_idx", "left_value", "right_value")
+    said = written(grey.mapInPandas(run, schema), "advice")
+    return decisions.join(said, ["left_idx", "right_idx"], "left")
+
+
+def resolve_pairs(blocked: DataFrame, embedder: Embedder = hashed_ngrams, complete: Callable[[str, str], str] | None = None,
+                  thresholds: Thresholds | None = None, include_unblocked: bool = True) -> DataFrame:
+    """Candidate pairs, scored, and advised on if there is somebody to ask."""
+    decisions = written(score_pairs(candidate_pairs(blocked, include_unblocked), blocked, embedder, thresholds), "decisions")
+    return advise(decisions, complete, thresholds) if complete else decisions
 
 
 def cluster_members(decisions: DataFrame) -> DataFrame:
@@ -221,7 +258,8 @@ def elect(members: DataFrame) -> DataFrame:
 
 def cluster_plan(decisions: DataFrame, records: DataFrame, column: str) -> Clusters:
     """Clusters for review: components of sure links, with doubtful neighbours as candidates."""
-    known = records.select("idx", "value", "row_count")
+    key = F.col("key") if "key" in records.columns else F.lit(None).cast("string")
+    known = records.select("idx", "value", "row_count", key.alias("key"))
     members = written(cluster_members(decisions).join(known, "idx"), "members")
     side = lambda name: members.select(F.col("idx").alias(f"{name}_idx"), F.col("root").alias(f"{name}_root"))
     extra = [c for c in ("suggestion", "confidence", "advice") if c in decisions.columns]
@@ -235,7 +273,7 @@ def cluster_plan(decisions: DataFrame, records: DataFrame, column: str) -> Clust
     ).where(bare(F.col("value")) != "")
     best = Window.partitionBy("root", "value").orderBy(F.desc("similarity"), "at")
     outer = outer.withColumn("n", F.row_number().over(best)).where("n = 1")
-    grouped = members.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("idx", "value", "row_count"))).alias("members"))
+    grouped = members.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("idx", "value", "row_count", "key"))).alias("members"))
     candidates = outer.groupBy("root").agg(F.collect_list(F.struct(-F.col("similarity"), "value", "source", *extra)).alias("candidates"))
     plan = (
         grouped.join(elect(members), "root").join(candidates, "root", "left").join(inner.withColumn("inner", F.lit(True)), "root", "left")
@@ -247,7 +285,7 @@ def cluster_plan(decisions: DataFrame, records: DataFrame, column: str) -> Clust
         status = "review" if found or row["inner"] else "auto"
         reason = f"{len(row['members'])} values, {len(found)} doubtful" + (", a doubtful link inside" if row["inner"] else "")
         out.append(Cluster(
-            f"c{i:03d}", column, row["canonical"], status, [ClusterMember(m["value"], m["row_count"]) for m in row["members"]],
+            f"c{i:03d}", column, row["canonical"], status, [ClusterMember(m["value"], m["row_count"], m["key"]) for m in row["members"]],
             [ClusterCandidate(c["value"], -c[0], (c.asDict().get("suggestion") or "undecided"), c["source"], c.asDict().get("confidence"), c.asDict().get("advice")) for c in found],
             reason,
         ))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergeloom.functions.coerce import bare, plain_number, to_date, whole
+from mergeloom.functions.coerce import DIGITS, SIGN, bare, grouped, marked, plain_number, to_date, whole
+from mergeloom.operators.union import SourceTable
+from mergeloom.sources.tables import read_tables
 
 # Cells that profiles take for missing.
 NA_WORDS = (
@@ -16,16 +20,17 @@ NA_WORDS = (
 # Words that make a column boolean; 1 and 0 do not.
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "evet", "hayir", "hayır")
 
+# The labels of formats.
 DATE_PATTERNS = {
     "iso_date": r"\d{4}-\d{1,2}-\d{1,2}(?:[T ].*)?",
     "tr_date_dd.mm.yyyy": r"\d{1,2}\.\d{1,2}\.\d{4}",
     "date_dd/mm/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
 }
 NUMBER_PATTERNS = {
-    "integer": r"[+-]?\d+",
-    "tr_decimal_grouped": r"[+-]?\d{1,3}(?:\.\d{3})+,\d+",
-    "tr_decimal": r"[+-]?\d+,\d+",
-    "en_decimal": r"[+-]?\d+\.\d+",
+    "integer": SIGN + DIGITS,
+    "tr_decimal_grouped": grouped(".", ","),
+    "tr_decimal": marked(","),
+    "en_decimal": marked("."),
 }
 
 PROFILE = T.StructType([
@@ -128,3 +133,8 @@ def profile_table(df: DataFrame, name: str, sample_size: int = 5) -> DataFrame:
         .when(k == "date", one(p["date_labels"], "mixed_date"))
         .when(k.isin("integer", "decimal"), one(p["number_labels"], "mixed_numeric")).alias("format_pattern"),
     )
+
+
+def profile_file(spark: SparkSession, path: str | Path, sheet: str | None = None, sample_size: int = 5) -> list[tuple[SourceTable, DataFrame]]:
+    """Each table of a file with its profile; a CSV file may fall through to another encoding."""
+    return [(t, profile_table(t.df, t.label, sample_size)) for t in read_tables(spark, path, sheet, fall_through=True)]

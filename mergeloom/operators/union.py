@@ -15,7 +15,7 @@ from pathlib import PurePath
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.functions.coerce import LOGICAL_TYPES, coerce
+from mergeloom.functions.coerce import LOGICAL_TYPES, coerce_columns
 from mergeloom.plans.contracts import Mapping, SourceMatch, TargetSchema
 
 ORDINALS = ["_file_idx", "_sheet_idx", "_row_idx"]
@@ -114,19 +114,18 @@ def unify(tables: list[SourceTable], mapping: Mapping, schema: TargetSchema) ->
 
 def _project(table: SourceTable, matches: dict[str, SourceMatch], schema: TargetSchema, file_idx: int) -> DataFrame:
     kinds = {f.name: f.dataType for f in table.df.schema.fields}
-    values, origins, bads = [], [], []
-    for c in schema.columns:
-        match = matches.get(c.name)
-        column = match.column if match else None
-        value, bad = F.lit(None).cast(LOGICAL_TYPES[c.type]), F.lit(False)
-        if column in kinds:
-            value, bad = coerce(F.col(f"`{column}`"), c.type, kinds[column])
-        values.append(value.alias(c.name))
-        origins.append(F.lit(column).cast("string").alias(f"_p_{c.name}"))
-        bads.append(bad.alias(f"_bad_{c.name}"))
     row = F.col("_row_idx") if "_row_idx" in kinds else F.monotonically_increasing_id()
     ordinals = [F.lit(file_idx).alias("_file_idx"), F.lit(table.sheet).alias("_sheet_idx"), row.cast("long").alias("_row_idx")]
-    return table.df.select(*values, F.lit(table.label).alias("_source_file"), *origins, *bads, *ordinals)
+    columns = {c.name: (matches[c.name].column if c.name in matches else None) for c in schema.columns}
+    # Source columns by number, as a target may have the name of another target's source.
+    used = {name: f"__{i}" for i, name in enumerate(dict.fromkeys(k for k in columns.values() if k in kinds))}
+    raw = table.df.select(*[F.col(f"`{k}`").alias(n) for k, n in used.items()], *ordinals)
+    cells = {c.name: (F.col(used[columns[c.name]]), c.type, kinds[columns[c.name]]) for c in schema.columns if columns[c.name] in kinds}
+    typed = coerce_columns(raw, cells)
+    values = [(F.col(f"`{c.name}`") if c.name in cells else F.lit(None).cast(LOGICAL_TYPES[c.type])).alias(c.name) for c in schema.columns]
+    origins = [F.lit(columns[c.name]).cast("string").alias(f"_p_{c.name}") for c in schema.columns]
+    bads = [(F.col(f"`_bad_{c.name}`") if c.name in cells else F.lit(False)).alias(f"_bad_{c.name}") for c in schema.columns]
+    return typed.select(*values, F.lit(table.label).alias("_source_file"), *origins, *bads, *ORDINALS)
 
 
 def combined(df: DataFrame, schema: TargetSchema, provenance: bool = True) -> DataFrame:

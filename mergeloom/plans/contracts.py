@@ -165,6 +165,7 @@ class Mapping:
 class ClusterMember:
     value: str
     row_count: int = 0
+    normalized: str | None = None
 
 
 @dataclass
@@ -229,7 +230,7 @@ class Clusters:
         out = []
         for c in self.clusters:
             row = {"cluster_id": c.cluster_id, "target_column": c.target_column, "canonical": c.canonical, "status": c.status,
-                   "members": [asdict(m) for m in c.members]}
+                   "members": [{k: v for k, v in asdict(m).items() if v is not None} for m in c.members]}
             if c.candidates:
                 row["candidates"] = [
                     {k: round(v, 6) if isinstance(v, float) else v for k, v in asdict(x).items() if v is not None} for x in c.candidates
@@ -254,7 +255,7 @@ class Clusters:
                     _need(isinstance(c, dict) and key in c, f"[{i}].candidates[{j}].{key}", "is missing")
             out.append(Cluster(
                 row.get("cluster_id"), row.get("target_column"), row.get("canonical"), row.get("status"),
-                [ClusterMember(m.get("value"), m.get("row_count", 0)) for m in members],
+                [ClusterMember(m.get("value"), m.get("row_count", 0), m.get("normalized")) for m in members],
                 [ClusterCandidate(c["value"], c["similarity"], c["suggestion"], c["source"], c.get("confidence"), c.get("reason")) for c in candidates],
                 row.get("reason"),
             ))

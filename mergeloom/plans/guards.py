@@ -8,9 +8,13 @@ from collections.abc import Iterable, Mapping as Dict
 from mergeloom.plans.contracts import Mapping, MappingEntry, SourceMatch
 
 # Words of column names.
-UNIT_WORDS = frozenset("unit birim each per tekil piece adet".split())
-AGGREGATE_WORDS = frozenset("total toplam tutar subtotal aratoplam sum ciro gross brut net kdv vat tax revenue hasilat".split())
-MONEY_WORDS = frozenset("price fiyat tutar amount cost ucret bedel total toplam revenue ciro hasilat maliyet".split())
+UNIT_WORDS = frozenset({"unit", "birim", "each", "per", "tekil", "piece", "adet"})
+AGGREGATE_WORDS = frozenset({
+    "total", "toplam", "tutar", "subtotal", "aratoplam", "sum", "ciro", "gross", "brut", "net", "kdv", "vat", "tax", "revenue", "hasilat",
+})
+MONEY_WORDS = frozenset({
+    "price", "fiyat", "tutar", "amount", "cost", "ucret", "bedel", "total", "toplam", "revenue", "ciro", "hasilat", "maliyet",
+})
 # Words and signs of currencies.
 CURRENCIES = {
     "tl": "TL", "try": "TL", "lira": "TL", "tely": "TL", "usd": "USD", "dolar": "USD", "dollar": "USD",

@@ -9,12 +9,13 @@ from __future__ import annotations
 import difflib
 import json
 import os
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from mergeloom.operators.entity import strip_fence
+from mergeloom.operators.entity import Embedder, hashed_ngrams, http_embedder, strip_fence
 from mergeloom.plans.contracts import Mapping, MappingEntry, SourceMatch, TargetSchema
 from mergeloom.plans.guards import name_tokens
 
@@ -22,6 +23,8 @@ AUTO_CONFIDENCE = 0.85
 PROMPT_SAMPLES = 10
 SYSTEM = (
     "Match target columns to source columns of one file. Tables are only stacked, never joined. Use null where nothing fits. "
+    "Give a low confidence where a total would fill a price of one item, or one item's price a total, and where a name or its samples "
+    "show a currency other than the target's. "
     'Answer with JSON only: {"matches": [{"target_column": "...", "source_column": "..." or null, "confidence": 0 to 1, "reason": "..."}]}.'
 )
 
@@ -129,8 +132,25 @@ class HttpProvider:
     def complete(self, system: str, user: str) -> str:
         data = json.dumps(self.body(system, user)).encode()
         request = urllib.request.Request(self.url, data, self.headers | {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            return self.text(json.load(answer))
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                return self.text(json.load(answer))
+        except (OSError, ValueError, KeyError, IndexError) as e:
+            raise ProviderError(f"{self.url}: {e}{hint(e)}") from e
+
+
+class ProviderError(ValueError):
+    """A provider that could not be reached, or refused."""
+
+
+#: What to do about an answer's status.
+_HINTS = {401: "the key is not valid", 403: "the key may not use this model", 404: "there is no such model, or the key may not use it", 429: "too many requests; try again later"}
+
+
+def hint(e: Exception) -> str:
+    if isinstance(e, urllib.error.HTTPError):
+        return f" ({_HINTS[e.code]})" if e.code in _HINTS else ""
+    return " (no connection)" if isinstance(e, OSError) else " (not the answer of such an endpoint)"
 
 
 def provider_from_environment(env: dict[str, str] | None = None) -> Completer:
@@ -152,3 +172,13 @@ def provider_from_environment(env: dict[str, str] | None = None) -> Completer:
         headers = {"x-api-key": key, "anthropic-version": "2023-06-01"}
         return HttpProvider("https://api.anthropic.com/v1/messages", headers, lambda s, u: {"model": model, "max_tokens": 4096, "system": s, "messages": chat(s, u)[1:]}, lambda a: a["content"][0]["text"])
     raise ValueError(f"unknown provider {kind!r}")
+
+
+def embedder_from_environment(env: dict[str, str] | None = None) -> Embedder:
+    """The endpoint that EMBED_URL names, with EMBED_MODEL and LLM_API_KEY; without it, hashed n-grams."""
+    env = dict(os.environ) if env is None else env
+    if not env.get("EMBED_URL"):
+        return hashed_ngrams
+    if not env.get("EMBED_MODEL"):
+        raise ValueError("set EMBED_MODEL")
+    return http_embedder(env["EMBED_URL"], env["EMBED_MODEL"], env.get("LLM_API_KEY"))

@@ -6,7 +6,7 @@ import codecs
 import csv
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -77,13 +77,36 @@ def _register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read_csv(spark: SparkSession, path: str | Path) -> DataFrame:
+def _decodes(path: str | Path, encoding: str) -> bool:
+    decoder = codecs.getincrementaldecoder(encoding)()
+    with open(path, "rb") as f:
+        try:
+            while block := f.read(1 << 20):
+                decoder.decode(block)
+            decoder.decode(b"", final=True)
+        except UnicodeDecodeError:
+            return False
+    return True
+
+
+def read_csv(spark: SparkSession, path: str | Path, fall_through: bool = False) -> DataFrame:
     """Text cells, empty ones NULL, and _row_idx.
 
-    UTF-8 files go through Spark's reader, whose rows are numbered by the place
-    of their file split and within it; other encodings are decoded in Python.
+    UTF-8 files go through Spark's reader, in splits unless a line has an odd
+    number of quotes, as lines that end within a cell have; other encodings are
+    decoded in Python.  A file whose first bytes are UTF-8 and whose later ones
+    are not is an error, or is read in the next encoding if it may fall through.
     """
     encoding, delimiter = sniff(path)
+    uri = Path(path).resolve().as_uri()
+    line, odd = F.col("value"), False
+    if encoding in ("utf-8-sig", "utf-8"):
+        quotes = F.char_length(line) - F.char_length(F.replace(line, F.lit('"'), F.lit("")))
+        sound, odd = spark.read.text(uri).agg(F.bool_and(F.is_valid_utf8(line)), F.bool_or(quotes % 2 == 1)).first()
+        if sound is False:
+            if not fall_through:
+                raise SourceError(f"{path}: begins as UTF-8 and goes on as something else")
+            encoding = next(e for e in ENCODINGS[2:] if _decodes(path, e))
     if encoding not in ("utf-8-sig", "utf-8"):
         _register(spark)
         return spark.read.format("legacy_csv").options(path=str(path), encoding=encoding, delimiter=delimiter).load()
@@ -92,21 +115,35 @@ def read_csv(spark: SparkSession, path: str | Path) -> DataFrame:
     if not names:
         raise SourceError(f"{path}: no header")
     schema = StructType([StructField(n, StringType()) for n in names])
-    df = spark.read.schema(schema).csv(Path(path).resolve().as_uri(), header=True, sep=delimiter, quote='"', escape='"', multiLine=True, enforceSchema=True)
-    # A file with quoted line ends is read as one split, so the id follows its rows.
+    df = spark.read.schema(schema).csv(uri, header=True, sep=delimiter, quote='"', escape='"', multiLine=bool(odd), enforceSchema=True)
+    # Splits of one file are of one size, the last one smaller: partitions follow their order, and ids that of partitions.
     return df.withColumn("_row_idx", F.monotonically_increasing_id())
 
 
-def read_tables(spark: SparkSession, path: str | Path, sheet: str | None = None) -> list[SourceTable]:
+#: Rows that one file of a table has at most, for the numbers of its rows.
+FILE_ROWS = 1 << 40
+
+
+def read_parquet(spark: SparkSession, path: str | Path) -> DataFrame:
+    """The table with _row_idx: the order of its files' paths, and in each that of its rows."""
+    df = spark.read.parquet(Path(path).resolve().as_uri())
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = df.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    numbered = files.withColumn("__n", F.row_number().over(Window.orderBy("__file")) - 1)  # a row for each file
+    row = F.col("__n") * F.lit(FILE_ROWS) + F.col("__row")
+    return placed.join(F.broadcast(numbered), "__file").select(*[F.col(f"`{c}`") for c in df.columns if c != "_row_idx"], row.cast("long").alias("_row_idx"))
+
+
+def read_tables(spark: SparkSession, path: str | Path, sheet: str | None = None, fall_through: bool = False) -> list[SourceTable]:
     """All tables of a file.  A workbook's are labelled book.xlsx#Sheet if more than one is read."""
     path = Path(path)
     if not path.exists():
         raise SourceError(f"{path}: no such file")
     suffix = path.suffix.lower()
     if suffix == ".csv":
-        return [SourceTable(path.name, path.name, read_csv(spark, path))]
+        return [SourceTable(path.name, path.name, read_csv(spark, path, fall_through))]
     if suffix == ".parquet":
-        return [SourceTable(path.name, path.name, spark.read.parquet(path.resolve().as_uri()))]
+        return [SourceTable(path.name, path.name, read_parquet(spark, path))]
     if suffix != ".xlsx":
         raise SourceError(f"{path}: only {', '.join(SUFFIXES)} files are read")
     names = list(Workbook(path.read_bytes()).sheets)

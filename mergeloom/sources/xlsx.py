@@ -1,13 +1,15 @@
 """Workbooks with the standard library: cells in, cells out.
 
-Reading gives a Spark data source, ``xlsx``: every cell is text, the way the
-sheet's type prints (integers without a point, ISO dates, true and false).
+Reading gives a Spark data source, ``xlsx``.  A column whose cells are all whole
+numbers, numbers, dates or booleans has that type; any other is text, with cells
+the way their type prints (integers without a point, ISO dates, true and false).
 """
 
 from __future__ import annotations
 
 import datetime
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -15,7 +17,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -38,6 +40,25 @@ def _index(reference: str) -> int:
     return out - 1
 
 
+Cell = str | bool | int | float | datetime.datetime | None
+
+
+def as_text(cell: Cell) -> str | None:
+    if isinstance(cell, bool):
+        return "true" if cell else "false"
+    if isinstance(cell, datetime.datetime):
+        return cell.date().isoformat() if cell.time() == datetime.time() else cell.isoformat()
+    return repr(cell) if isinstance(cell, float) else None if cell is None else str(cell)
+
+
+def column_type(kinds: set[type]) -> DataType:
+    """What a column's cells have in common."""
+    if kinds == {int, float}:
+        return DoubleType()
+    one = {bool: BooleanType(), int: LongType(), float: DoubleType(), datetime.datetime: TimestampNTZType()}
+    return one.get(next(iter(kinds)), StringType()) if len(kinds) == 1 else StringType()
+
+
 class Workbook:
     def __init__(self, data: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(data))
@@ -62,7 +83,7 @@ class Workbook:
     def _xml(self, name: str) -> ElementTree.Element:
         return ElementTree.fromstring(self.zip.read(name))
 
-    def _cell(self, c: ElementTree.Element) -> str | None:
+    def _cell(self, c: ElementTree.Element) -> Cell:
         kind, v = c.get("t", "n"), c.find(f"{MAIN}v")
         if kind == "inlineStr":
             return "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
@@ -71,22 +92,21 @@ class Workbook:
         if kind == "s":
             return self.shared[int(v.text)]
         if kind == "b":
-            return "true" if v.text == "1" else "false"
+            return v.text == "1"
         if kind == "e":
             return None
         if kind != "n":
             return v.text
         number = float(v.text)
         if int(c.get("s") or 0) in self.date_styles:
-            at = self.epoch + datetime.timedelta(seconds=round(number * 86400))
-            return at.date().isoformat() if at.time() == datetime.time() else at.isoformat()
-        return str(int(number)) if number == int(number) and abs(number) < 1e15 else repr(number)
+            return self.epoch + datetime.timedelta(seconds=round(number * 86400))
+        return int(number) if number == int(number) and abs(number) < 1e15 else number
 
-    def rows(self, sheet: str) -> Iterator[list[str | None]]:
+    def rows(self, sheet: str) -> Iterator[list[Cell]]:
         with self.zip.open(f"xl/{self.sheets[sheet]}") as f:
             for _, row in ElementTree.iterparse(f):
                 if row.tag == f"{MAIN}row":
-                    out: list[str | None] = []
+                    out: list[Cell] = []
                     for i, c in enumerate(row.findall(f"{MAIN}c")):
                         at = _index(c.get("r")) if c.get("r") else i
                         out += [None] * (at + 1 - len(out))
@@ -95,11 +115,11 @@ class Workbook:
                     row.clear()
 
 
-def header_names(cells: Iterable[str | None]) -> list[str]:
+def header_names(cells: Iterable[Cell]) -> list[str]:
     """Names of columns: an empty one is named by its place, one seen before gets .1, .2 and so on."""
     out: list[str] = []
     for i, cell in enumerate(cells):
-        name = base = str(cell) if cell not in (None, "") else f"Unnamed: {i}"
+        name = base = as_text(cell) if cell not in (None, "") else f"Unnamed: {i}"
         k = 0
         while name in out:
             k += 1
@@ -115,16 +135,23 @@ class XlsxSource(DataSource):
     def name(cls) -> str:
         return "xlsx"
 
-    def _rows(self) -> Iterator[list[str | None]]:
+    def _rows(self) -> Iterator[list[Cell]]:
         with open(self.options["path"], "rb") as f:
             return Workbook(f.read()).rows(self.options["sheet"])
 
     def schema(self) -> StructType:
-        names = header_names(next(iter(self._rows()), []))
-        return StructType([*[StructField(n, StringType()) for n in names], StructField("_row_idx", LongType())])
+        rows = self._rows()
+        names = header_names(next(rows, []))
+        kinds: list[set[type]] = [set() for _ in names]
+        for row in rows:
+            for found, cell in zip(kinds, row):
+                if cell is not None:
+                    found.add(type(cell))
+        return StructType([*[StructField(n, column_type(k)) for n, k in zip(names, kinds)], StructField("_row_idx", LongType())])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         rows, width = self._rows, len(schema) - 1
+        held = [float if isinstance(f.dataType, DoubleType) else as_text if isinstance(f.dataType, StringType) else (lambda x: x) for f in schema.fields[:-1]]
 
         class Reader(DataSourceReader):
             def partitions(self):
@@ -135,7 +162,7 @@ class XlsxSource(DataSource):
                 next(cells, None)
                 for i, row in enumerate(cells):
                     if any(x is not None for x in row):
-                        yield (*(row + [None] * width)[:width], i)
+                        yield (*[None if x is None else f(x) for f, x in zip(held, (row + [None] * width)[:width])], i)
 
         return Reader()
 
@@ -172,8 +199,12 @@ def write_workbook(path: str, sheets: dict[str, tuple[list[str], Iterable[Iterab
         for i, (name, (header, rows)) in enumerate(sheets.items(), 1):
             n = 0
             with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
-                # Widths from the header, within 10 and 60.
-                widths = "".join(f'<col min="{k}" max="{k}" width="{min(60, max(10, len(h) + 2))}" customWidth="1"/>' for k, h in enumerate(header, 1))
+                # Widths from the header and the first rows, which are held until then, within 10 and 60.
+                rows = iter(rows)
+                first = list(itertools.islice(rows, 1000))
+                longest = [max(len(str(h)), *(len(str(r[k])) for r in first if k < len(r) and r[k] is not None), 0) for k, h in enumerate(header)]
+                rows = itertools.chain(first, rows)
+                widths = "".join(f'<col min="{k}" max="{k}" width="{min(60, max(10, x + 2))}" customWidth="1"/>' for k, x in enumerate(longest, 1))
                 f.write(f'{head}<worksheet xmlns="{space}"><cols>{widths}</cols><sheetData>'.encode())
                 for n, row in enumerate([header], 1):
                     f.write(f'<row r="1">{"".join(_xml_cell(v, f"{_letters(k)}1") for k, v in enumerate(row))}</row>'.encode())
