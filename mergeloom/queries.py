@@ -421,9 +421,15 @@ def sql_script_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select(insert_statements(nation, "nation").alias("line"))
 
 
+def _registered() -> None:
+    from mergeloom import core_queries  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)
