@@ -34,7 +34,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table that written() gave, once nothing will read it any more."""
+    remove(table.sparkSession, table.written_to)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
