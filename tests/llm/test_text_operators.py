@@ -379,7 +379,7 @@ def test_lm_last_two_frequent_words():
     for part in (raw[:5], raw[5:]):
         t = lm.Tokens(part, np.array([0, 5]), code, 1 << 40)
         slots.append(lm.decisions(t, 2, 3, code, 20)[0])
-    assert slots[0].shape[0] == lm.CONTEXTS == 4
+    assert slots[0].shape[0] == lm.CONTEXTS == 5
     assert (slots[0][:3] == slots[1][:3]).all() and (slots[0][3] != slots[1][3]).all()
 
 
