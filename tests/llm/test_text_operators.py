@@ -379,7 +379,7 @@ def test_lm_last_two_frequent_words():
     for part in (raw[:5], raw[5:]):
         t = lm.Tokens(part, np.array([0, 5]), code, 1 << 40)
         slots.append(lm.decisions(t, 2, 3, code, 20)[0])
-    assert slots[0].shape[0] == lm.CONTEXTS == 5
+    assert slots[0].shape[0] == lm.CONTEXTS == 4
     assert (slots[0][:3] == slots[1][:3]).all() and (slots[0][3] != slots[1][3]).all()
 
 
@@ -416,6 +416,109 @@ def test_lm_codes_every_frequent_word(spark):
     assert (2.0 ** -code.lengths.astype(float)).sum() == 1
 
 
+M64 = 2**64 - 1
+
+
+def scalar_mix(h):
+    h = (h ^ (h >> 32)) * 0x9E3779B97F4A7C15 & M64
+    return h ^ (h >> 29)
+
+
+def scalar_decisions(text, code, slots_log2):
+    """Plain Python: of each token of a text, (slots of all predictors, bit, kind) of each decision, one by one."""
+    from mergeloom.llm import text as words
+
+    names = [m.group().encode() for m in WORD.finditer(text.translate(LOW))]
+    node = lambda x: (x * int(lm.NODE) & M64) >> 32
+    slot = lambda n, c: ((n ^ c) * int(lm.HASH) & 0xFFFFFFFF) >> (32 - slots_log2)
+    rolled = lambda b: scalar_mix(sum(int(words._BYTES[x]) * pow(words._BASE, i, 2**64) for i, x in enumerate(b)) & M64)
+    symbols = {int(h): i for i, h in enumerate(code.hashes)}
+    before, seen, out = 513, [], []
+    for name in [*names, None]:
+        symbol = code.end if name is None else symbols.get(rolled(name), -1)
+        votes = [sum(int(code.groups[c]) == g for c in seen) for g in range(lm.GROUPS)]
+        group = votes.index(max(votes)) + 1 if seen else 0
+        last = seen[-1] + 1 if seen else 0
+        last_two = last * 300 + (seen[-2] + 1 if len(seen) > 1 else 0)
+        contexts = [0, *[scalar_mix(v + (salt << 32) & M64) >> 32 for salt, v in ((1, before), (2, group), (3, last_two))]]
+        items = [(int(code.codes[symbol if symbol >= 0 else code.escape]), int(code.lengths[symbol if symbol >= 0 else code.escape]), contexts, None)]
+        for i, value in enumerate((*name, 32) if symbol < 0 else ()):
+            back = [name[i - k] if i >= k else 0 for k in range(1, 5)]
+            history = []
+            for k in (2, 3, 4):
+                joined = sum(b << 8 * (k - 1 - n) for n, b in enumerate(back[:k]))
+                history.append(scalar_mix(joined + (k << 56) + (group << 40) & M64) >> 32)
+            history.append((rolled(name[:i]) + (9 << 32) & M64) >> 32)
+            items.append((int(code.byte_codes[value]), int(code.byte_lengths[value]), history, 4 + min(i, 3)))
+        token = []
+        for path, length, context, kind in items:
+            for j in range(length):
+                n = node((1 << j) | (path >> (length - j)))
+                token.append(([slot(n, c) for c in context], path >> (length - j - 1) & 1, min(j // 3, 3) if kind is None else kind))
+        out.append(token)
+        if name is not None:
+            cls = int(code.classes[symbol]) if symbol >= 0 else -1
+            before = cls if cls >= 0 else 256 + (name[-1] * 31 + name[max(len(name) - 2, 0)]) % 256
+            if cls >= 0:
+                seen.append(cls)
+    return out
+
+
+def test_lm_against_plain_python():
+    """Counts of the slots, and the bits of each text, decision by decision; weights step after each block of tokens."""
+    texts = [r[1] or "" for r in corpus() if len(r[1] or "") < 3000][:30]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    part = lm.Texts(lm.LOWER[raw], offsets)
+    hashes, _, which = part.distinct()
+    uses = np.bincount(which)
+    code = lm.Code(np.append(hashes[uses > 2], [lm.END, lm.ESCAPE]), np.append(uses[uses > 2], [len(texts), 40]))
+    shared = lm.shared_texts(iter([(raw, offsets)]), code)
+    has = [{int(code.classes[code.find(hashes[[w]])[0]]) for w in which[part.first[i] : part.first[i + 1]] if uses[w] > 2} for i in range(len(texts))]
+    for a in range(12):
+        assert [int(shared[a, b]) for b in range(12)] == [sum(a in s and b in s for s in has) for b in range(12)]
+    code.groups = lm.word_groups(shared[: lm.FREQUENT])
+    code.spell_with(shared[lm.FREQUENT])
+    assert set(code.groups.tolist()) <= set(range(lm.GROUPS)) and len(set(code.groups.tolist())) > 1
+    s = lm.Settings(slots_log2=12, block=4, together=16, rate=0.05)
+    found = [scalar_decisions(t, code, s.slots_log2) for t in texts]
+    counts = np.zeros((lm.CONTEXTS, 2, 1 << s.slots_log2), np.int64)
+    for tokens in found:
+        for slots, bit, _ in (d for token in tokens for d in token):
+            for k, x in enumerate(slots):
+                counts[k, bit, x] += 1
+    held = lm.count_slots(iter([(raw, offsets)]), code, s, 0, 1 << s.slots_log2)
+    assert all((held.page(k, 0, 1 << s.slots_log2) == counts[k]).all() for k in range(lm.CONTEXTS))
+    tables = lm.stored(counts)
+    weights = np.random.default_rng(3).random((lm.GATES, lm.CONTEXTS)).astype(np.float32)
+    got, n_tokens = lm.text_bits(raw, offsets, code, tables, weights, s)
+    for text, tokens, bits, n in zip(texts, found, got, n_tokens):
+        own = np.zeros((lm.KINDS, lm.CONTEXTS + 1))
+        total = 0.0
+        for at in range(0, len(tokens), s.block):
+            steps = np.zeros_like(own)
+            for slots, bit, kind in (d for token in tokens[at : at + s.block] for d in token):
+                cell = [int(tables[k, x]) for k, x in enumerate(slots)]
+                x = [((c & 255) - 128) / lm.STRETCH for c in cell]
+                gate = (kind * 4 + (cell[1] >> 8)) * 4 + (cell[2] >> 8)
+                odds = sum((float(weights[gate, k]) + own[kind, k]) * x[k] for k in range(lm.CONTEXTS)) + own[kind, lm.CONTEXTS]
+                miss = bit - 1 / (1 + math.exp(-min(max(odds, -14), 14)))
+                total -= math.log2(1 - abs(miss))
+                steps[kind] += s.rate * miss * np.array([*x, 1])
+            own += steps
+        assert n == len(tokens) and bits == pytest.approx(total, rel=2e-4), text
+
+
+def test_lm_beats_its_base(spark):
+    """On held-out texts of words from a few stems, in two languages, the model gives more probability than the unigram base."""
+    rng = random.Random(12)
+    stems = [["ka", "to", "mi", "ru", "shi", "ne", "go"], ["ber", "ung", "sch", "ein", "tz", "ol", "ar"]]
+    make = lambda k: "".join(rng.choice(stems[k]) for _ in range(min(1 + int(rng.expovariate(0.6)), 6)))
+    rows = [(i, " ".join(make(i % 2) for _ in range(rng.randint(40, 120)))) for i in range(900)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
 def labelled_texts(spark, mark):
     """Texts of two kinds, of which one holds marked words."""
     rng = random.Random(9)
