@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergeloom.llm.text import trim
 from mergeloom.runtime import written
 
 
@@ -52,7 +53,9 @@ def bounded(found: DataFrame, name: str, most: int) -> pa.Table:
         chosen = held.sparkSession.createDataFrame(sizes.select(["doc_id", name]).filter(pa.array(keep)))
         held = held.join(F.broadcast(chosen), ["doc_id", name])
     table = held.select("doc_id", "text", name, order.alias("at")).toArrow()
-    return table.sort_by([("at", "ascending"), ("doc_id", "ascending"), (name, "ascending")]).drop_columns("at")
+    table = table.sort_by([("at", "ascending"), ("doc_id", "ascending"), (name, "ascending")]).drop_columns("at")
+    trim()
+    return table
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, class_bytes: int) -> tuple[pa.ChunkedArray, np.ndarray]:

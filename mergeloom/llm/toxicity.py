@@ -68,12 +68,27 @@ def subwords(
     return bucket[order], np.searchsorted(word[order], np.arange(len(start) + 1))
 
 
-def bag_means(values: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The mean of values over each bag; no bag is empty."""
-    if len(first) < 2:
-        return np.zeros((0, *values.shape[1:]), values.dtype)
-    sums = np.add.reduceat(values[bucket], first[:-1], axis=0)
-    return sums / np.diff(first).reshape(-1, *[1] * (values.ndim - 1))
+def bag_means(values: np.ndarray, bucket: np.ndarray, first: np.ndarray, together: int = 1 << 20) -> np.ndarray:
+    """The mean of values over each bag, some bags at a time; no bag is empty."""
+    out = np.empty((len(first) - 1, *values.shape[1:]), values.dtype)
+    i = 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(first, first[i] + together, side="right")) - 1)
+        sums = np.add.reduceat(values[bucket[first[i] : first[j]]], first[i:j] - first[i], axis=0)
+        out[i:j] = sums / np.diff(first[i : j + 1]).reshape(-1, *[1] * (values.ndim - 1))
+        i = j
+    return out
+
+
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts one after another; each is let go once it is copied."""
+    out = np.empty(sum(map(len, parts)), parts[0].dtype if parts else np.int32)
+    end = len(out)
+    while parts:
+        part = parts.pop()
+        out[end - len(part) : end] = part
+        end -= len(part)
+    return out
 
 
 class _Adam:
@@ -105,7 +120,7 @@ def train(column: pa.Array, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
         hashes.append(h)
         which = which.astype(np.int32)
         docs += [(len(hashes) - 1, which[texts.first[k] : texts.first[k + 1]]) for k in range(j - i)]
-    data, spans = np.concatenate(data), np.concatenate(spans, axis=1)
+    data, spans = joined(data), np.concatenate(spans, axis=1)
     base = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
     _, one, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     which = which.astype(np.int32)
@@ -115,8 +130,9 @@ def train(column: pa.Array, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
         part, begin = subwords(data, *spans[:, one[i : i + (1 << 15)]], s.buckets_log2)
         first.append(begin[1:] + first[-1][-1])
         bags.append(part)
-    bucket, first = np.concatenate(bags), np.concatenate(first)
-    del data, spans, hashes, bags
+    bucket, first = joined(bags), joined(first)
+    del data, spans, hashes
+    trim()
     seen = np.zeros((len(one), 2))
     for words, label in zip(docs, y):
         seen[np.unique(words), label] += 1
