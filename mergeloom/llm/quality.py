@@ -150,9 +150,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings | None
     """
     settings = settings or Settings()
     learn = fold(F.col("doc_id"), parts) != held
-    texts, y = labelled_sample(docs, labels, "quality", learn, settings.per_class, settings.class_bytes)
-    trained = train(texts, y, settings)
-    del texts
+    trained = train(*labelled_sample(docs, labels, "quality", learn, settings.per_class, settings.class_bytes), settings)
     trim()
     model = docs.sparkSession.sparkContext.broadcast(trained)  # 2**features_log2 pairs of floats
 

@@ -120,6 +120,8 @@ def train(column: pa.Array, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
         hashes.append(h)
         which = which.astype(np.int32)
         docs += [(len(hashes) - 1, which[texts.first[k] : texts.first[k + 1]]) for k in range(j - i)]
+    del column  # the caller has let go of the texts
+    trim()
     data, spans = joined(data), np.concatenate(spans, axis=1)
     base = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
     _, one, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
@@ -183,6 +185,7 @@ def train(column: pa.Array, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
 
     balanced = (len(y) / 2 / np.bincount(y, minlength=2))[y]
     full = [k for k, words in enumerate(docs) if len(words)]
+    trim()
     for _ in range(s.window_epochs):
         word_margin = bag_means(margins()[0], bucket, first)
         rows, groups, target, weights = [], [0], [], []
@@ -239,9 +242,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, source: DataFrame | None
     """
     settings = settings or Settings()
     learn = fold(F.col("doc_id"), parts) != held
-    texts, y = labelled_sample(docs if source is None else source, labels, "toxic", learn, settings.per_class, settings.class_bytes)
-    per_bucket, bias = train(texts, y, settings)
-    del texts
+    per_bucket, bias = train(*labelled_sample(docs if source is None else source, labels, "toxic", learn, settings.per_class, settings.class_bytes), settings)
     trim()
     model = docs.sparkSession.sparkContext.broadcast((per_bucket, bias))  # 2**buckets_log2 floats, whatever the corpus
     window = settings.window
@@ -266,9 +267,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     threshold = options.pop("threshold", 0.7)
     parts, held = options.pop("parts", 3), options.pop("held", 1)
     learn = fold(F.col("doc_id"), parts) != held
-    texts, y = labelled_sample(docs, labels, "toxic", learn, settings.per_class, settings.class_bytes)
-    per_bucket, bias = train(texts, y, settings)
-    del texts
+    per_bucket, bias = train(*labelled_sample(docs, labels, "toxic", learn, settings.per_class, settings.class_bytes), settings)
     trim()
     model = docs.sparkSession.sparkContext.broadcast((per_bucket, bias))
     window, at = settings.window, docs.columns.index("text")
