@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.sample import bounded, fold
-from mergeloom.llm.text import LOWER, Texts, chunks, gather, trim, trimmed
+from mergeloom.llm.sample import bounded, fitted, fold
+from mergeloom.llm.text import LOWER, Texts, chunks, gather, trimmed
 from mergeloom.llm.toxicity import ENDS, _Adam, bag_means, subwords
 
 NGRAMS = (2, 3, 4)
@@ -133,6 +133,8 @@ def train(column: pa.Array, y: np.ndarray, labels: int, s: Settings) -> tuple[np
     """Weights: features x labels, transitions, and those of the first word."""
     weights = np.zeros((1 << s.features_log2, labels), np.float32)
     move, start = np.zeros((labels, labels), np.float32), np.zeros(labels, np.float32)
+    if not len(column):
+        return weights, move, start
     bags, firsts, documents, at = [], [np.zeros(1, np.int64)], [], 0
     for i, j, raw, offsets in chunks(column, 1 << 20):
         texts = Texts(fold_case(raw), offsets, ENDS)
@@ -232,20 +234,18 @@ def predict(column: pa.Array, model: tuple[np.ndarray, np.ndarray, np.ndarray])
     return label, share
 
 
-def known_texts(docs: DataFrame, learn: Column, settings: Settings) -> tuple[pa.ChunkedArray, np.ndarray, list[str]]:
-    """Texts, labels and languages of a sample: about per_language documents of each language, by their hash."""
+def known_texts(docs: DataFrame, learn: Column, settings: Settings) -> tuple[DataFrame | None, list[str]]:
+    """Texts of known language, as bounded() gives them, about per_language documents of each by their hash; and the languages."""
     known = docs.where(learn & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
-    names = sorted(counts)
-    if not names:
-        return pa.chunked_array([[]], pa.string()), np.zeros(0, np.int64), []
+    if not counts:
+        return None, []
     shares = known.sparkSession.createDataFrame([(k, settings.per_language / n) for k, n in counts.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     drawn = known.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # MOST_LANGUAGES rows
-    table = bounded(drawn, "lang", settings.language_bytes)
-    return table.column("text"), np.searchsorted(np.array(names), table.column("lang").to_pylist()), names
+    return bounded(drawn, "lang", settings.language_bytes), sorted(counts)
 
 
 def sized(settings: Settings, languages: int) -> Settings:
@@ -267,10 +267,9 @@ def identify_languages(docs: DataFrame, settings: Settings | None = None, parts:
     languages has fewer features, MOST_WEIGHTS weights in all.
     """
     settings = settings or Settings()
-    texts, y, names = known_texts(docs, fold(F.col("doc_id"), parts) != held, settings)
-    trained = train(texts, y, len(names), sized(settings, len(names))) if names else None
-    del texts
-    trim()
+    sample, names = known_texts(docs, fold(F.col("doc_id"), parts) != held, settings)
+    own = sized(settings, max(1, len(names)))
+    trained = fitted(sample, "lang", lambda texts, lang: train(texts, np.searchsorted(np.array(names), lang), len(names), own)) if names else None
     model = docs.sparkSession.sparkContext.broadcast((trained, names))  # 2**features_log2 rows of a float for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

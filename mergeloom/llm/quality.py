@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.sample import fold, labelled_sample
-from mergeloom.llm.text import RollingHash, Texts, chunks, mix, trim, trimmed
+from mergeloom.llm.sample import fitted, fold, labelled_rows
+from mergeloom.llm.text import RollingHash, Texts, chunks, mix, trimmed
 
 
 @dataclass
@@ -150,8 +150,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings | None
     """
     settings = settings or Settings()
     learn = fold(F.col("doc_id"), parts) != held
-    trained = train(*labelled_sample(docs, labels, "quality", learn, settings.per_class, settings.class_bytes), settings)
-    trim()
+    rows = labelled_rows(docs, labels, "quality", learn, settings.per_class, settings.class_bytes)
+    trained = fitted(rows, "y", lambda texts, y: train(texts, np.array(y, np.int64), settings))
     model = docs.sparkSession.sparkContext.broadcast(trained)  # 2**features_log2 pairs of floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

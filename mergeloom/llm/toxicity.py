@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.sample import fold, labelled_sample
+from mergeloom.llm.sample import fitted, fold, labelled_rows
 from mergeloom.llm.text import LOWER, SPACE, RollingHash, Texts, chunks, gather, trim, trimmed
 
 #: Bytes that end a word: white space and marks.
@@ -226,6 +226,12 @@ def score_texts(column: pa.Array, per_bucket: np.ndarray, bias: float, window: i
     return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings) -> tuple[np.ndarray, float]:
+    """What train() gives for the labelled sample."""
+    rows = labelled_rows(docs, labels, "toxic", learn, settings.per_class, settings.class_bytes)
+    return fitted(rows, "y", lambda texts, y: train(texts, np.array(y, np.int64), settings))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, settings: Settings | None = None,
                    parts: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted.
@@ -242,8 +248,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, source: DataFrame | None
     """
     settings = settings or Settings()
     learn = fold(F.col("doc_id"), parts) != held
-    per_bucket, bias = train(*labelled_sample(docs if source is None else source, labels, "toxic", learn, settings.per_class, settings.class_bytes), settings)
-    trim()
+    per_bucket, bias = learned(docs if source is None else source, labels, learn, settings)
     model = docs.sparkSession.sparkContext.broadcast((per_bucket, bias))  # 2**buckets_log2 floats, whatever the corpus
     window = settings.window
 
@@ -267,8 +272,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     threshold = options.pop("threshold", 0.7)
     parts, held = options.pop("parts", 3), options.pop("held", 1)
     learn = fold(F.col("doc_id"), parts) != held
-    per_bucket, bias = train(*labelled_sample(docs, labels, "toxic", learn, settings.per_class, settings.class_bytes), settings)
-    trim()
+    per_bucket, bias = learned(docs, labels, learn, settings)
     model = docs.sparkSession.sparkContext.broadcast((per_bucket, bias))
     window, at = settings.window, docs.columns.index("text")
 
