@@ -1,9 +1,8 @@
 """Connected components by alternating star contractions.
 
 Each round is two aggregates and two equi-joins over the edges; a node's
-neighbours are never gathered in one task.  Edges of nodes that have over
-1/HEAVY of all edges, of which there are fewer than HEAVY, meet their node's
-least neighbour by a broadcast of those nodes; the others by a shuffled join.
+neighbours are never gathered in one task.  Joins on a hot node are plain
+shuffled joins, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -13,20 +12,15 @@ from pyspark.sql import functions as F
 
 from mergeloom.runtime import new_path, remove
 
-HEAVY = 1024
 
-
-def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """One contraction of edges (u > v): large links greater neighbours, small links lesser ones, to the least; total: edges, about."""
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One contraction of edges (u > v): large links greater neighbours, small links lesser ones, to the least."""
     directed = edges
     if large:
         directed = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = directed.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    heavy = near.where(F.col("n") * HEAVY > total).select("u", "m")
-    least = near.select("u", "m")
+    least = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     moved = directed.where("v > u") if large else directed
-    met = [moved.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(least, "u"), moved.join(F.broadcast(heavy), "u")]
-    out = met[0].unionByName(met[1]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = moved.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
@@ -53,13 +47,13 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
         return spark.read.schema(df.schema).parquet(held[-1])
 
     current = kept(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    total, seen, rounds = current.count(), None, 0
+    seen, rounds = None, 0
     while True:
-        current = kept(_stars(_stars(current, True, 2 * total), False, total))
+        current = kept(_stars(_stars(current, large=True), large=False))
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return nodes.union(current.select(F.col("v"), F.col("v")).distinct())
-        seen, total, rounds = mark, mark[0], rounds + 1
+        seen, rounds = mark, rounds + 1
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
