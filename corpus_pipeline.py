@@ -1,4 +1,13 @@
-"""From raw documents to token ids: civil, deduplicated by line and by document, mixed, encoded."""
+"""From raw documents to token ids: civil, deduplicated by line and by document, mixed, encoded.
+
+Every stage takes whole texts of any length and gives an empty table for an
+empty one.  A null or empty text passes the first three stages, unless it is a
+near copy of another such text, has no words to mix, and so ends there.  A null
+doc_id is a document that no line count knows and that no copy is kept for.
+Repeated rows are treated alike by the first two stages, stay or go together in
+the third, and are documents of their own in the fourth.  Columns other than
+those of documents are dropped, so none can clash.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.llm import bpe, linededup, mixing, simhash, toxicity
-from mergeloom.runtime import written
+from mergeloom.runtime import forget, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
