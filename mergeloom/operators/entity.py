@@ -54,6 +54,8 @@ def with_blocks(records: DataFrame, strategy: Sequence[str] = ("prefix",), prefi
             raise ValueError(f"there is no column {name}")
     if "category" in strategy and not category:
         raise ValueError("blocking by category needs a category column")
+    # Keys cost far more than the bytes of their rows tell: they are worked out by many tasks, even of one small file.
+    records = records.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = records.withColumn("key", comparison_key(F.col(f"`{value}`").cast("string"), tables))
     parts: dict[str, Column] = {
         "prefix": F.substring(F.replace(F.col("key"), F.lit(" "), F.lit("")), 1, prefix_length),
@@ -76,17 +78,34 @@ def pair_count(blocked: DataFrame, include_unblocked: bool = False) -> DataFrame
     return rows.groupBy("block").count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)).cast("long").alias("pair_count"))
 
 
-def candidate_pairs(blocked: DataFrame, include_unblocked: bool = False, idx: str = "idx") -> DataFrame:
-    """Pairs within blocks, the smaller idx left.
+def candidate_pairs(blocked: DataFrame, include_unblocked: bool = False, idx: str = "idx", tile_rows: int = 2048) -> DataFrame:
+    """Pairs within blocks, the smaller idx left; a row without idx is in none.
 
-    Keys are worked out once, into a table; the join is a shuffled one, in which
-    adaptive execution splits a large block.  A block of n rows gives n(n-1)/2
-    pairs, which pair_count tells beforehand.
+    Keys are worked out once, into a table, before anything filters by them.  The
+    rows of a block are dealt by idx into tiles of about tile_rows, and each two
+    tiles of a block meet in one task's share, so that no block is the work of one
+    task, however few bytes it has.  A block of n rows gives n(n-1)/2 pairs, which
+    pair_count tells beforehand.
     """
-    rows = blocked if include_unblocked else blocked.where(F.col("block") != UNBLOCKED)
-    rows = written(rows.select("block", idx, "value", "key"), "blocked")
-    side = lambda name: rows.select("block", *[F.col(c).alias(f"{name}_{c}") for c in (idx, "value", "key")])
-    return side("left").join(side("right"), "block").where(F.col(f"left_{idx}") < F.col(f"right_{idx}"))
+    if tile_rows < 1:
+        raise ValueError("tile_rows must be at least 1")
+    rows = written(blocked.select("block", idx, "value", "key"), "blocked").where(F.col(idx).isNotNull())
+    rows = rows if include_unblocked else rows.where(F.col("block") != UNBLOCKED)
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_tiles"))
+    dealt = rows.join(sizes, "block").withColumn("_tile", F.pmod(F.xxhash64(idx), F.col("_tiles")).cast("int"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: by bytes, few tasks would get all pairs
+
+    def side(name: str, p: Column, q: Column) -> DataFrame:
+        own = dealt.select("block", p.alias("_p"), q.alias("_q"), *[F.col(c).alias(f"_{name}_{c}") for c in (idx, "value", "key")])
+        return own.repartition(parts, "block", "_p", "_q")
+
+    a = side("a", F.col("_tile"), F.explode(F.sequence("_tile", F.col("_tiles") - 1)))
+    b = side("b", F.explode(F.sequence(F.lit(0), F.col("_tile"))), F.col("_tile"))
+    ordered = F.col(f"_a_{idx}") < F.col(f"_b_{idx}")
+    # Rows of one idx are in one tile: those of two tiles differ in it.
+    met = a.join(b.hint("merge"), ["block", "_p", "_q"]).where((F.col("_p") < F.col("_q")) | ordered)
+    pick = lambda c, x, y: F.when(ordered, F.col(f"_{x}_{c}")).otherwise(F.col(f"_{y}_{c}"))
+    return met.select("block", *[pick(c, *xy).alias(f"{name}_{c}") for name, xy in (("left", "ab"), ("right", "ba")) for c in (idx, "value", "key")])
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -147,6 +147,19 @@ def test_clusters(spark):
     assert [(k.value, k.suggestion) for k in found[0].candidates] == [("Kola 330ML light", "different")]
 
 
+def test_pairs_of_one_large_block(spark):
+    rows = [(i, f"Kola {i}") for i in range(100)] + [(7, "Kola 7"), (None, "Kola x"), (200, "Su"), (201, "")]
+    blocked = entity.with_blocks(spark.createDataFrame(rows, "idx long, value string"))
+    assert blocked.rdd.getNumPartitions() >= 4
+    for rows_a_tile in (1, 16, 2048):
+        pairs = entity.candidate_pairs(blocked, tile_rows=rows_a_tile).withColumn("task", F.spark_partition_id()).collect()
+        want = [(i, j) for i in range(100) for j in range(i + 1, 100) for _ in range(1 + (7 in (i, j)))]
+        assert sorted((r.left_idx, r.right_idx) for r in pairs) == want
+        assert all((r.left_value, r.right_key) == (f"Kola {r.left_idx}", f"kola {r.right_idx}") for r in pairs)
+        tasks = [r.task for r in pairs]
+        assert rows_a_tile > 100 or max(map(tasks.count, set(tasks))) < 0.6 * len(tasks)
+
+
 def test_contracts_round_trip(tmp_path):
     c.dump_schema(SCHEMA, tmp_path / "s.yaml")
     assert c.load_schema(tmp_path / "s.yaml") == SCHEMA
