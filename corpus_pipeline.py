@@ -16,35 +16,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.llm import bpe, linededup, mixing, simhash, toxicity
-from mergeloom.runtime import forget, written
+from mergeloom.runtime import forget, trim_driver, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
+    trim_driver(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_civil(docs.select(*COLUMNS), labels)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in many documents stay only in the last of them."""
+    trim_driver(spark)
     cleaned = linededup.dedup_lines(docs.select(*COLUMNS))
     return cleaned.withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    trim_driver(spark)
     return simhash.near_dedup(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in the order of their training positions."""
+    trim_driver(spark)
     return mixing.curriculum(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and digests of them and of what they decode to."""
+    trim_driver(spark)
     encoded = bpe.encode_documents(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return encoded.select(
         "doc_id", "lang", "source",

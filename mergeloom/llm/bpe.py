@@ -481,11 +481,12 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def _compiled(docs: DataFrame, path: str):
-    """The tokenizer as a broadcast; its size is the vocabulary's, whatever the corpus.  One for each application and file."""
+    """The tokenizer as a broadcast; its size is the vocabulary's, whatever the corpus.  One for each application and file; the driver keeps none."""
     context = docs.sparkSession.sparkContext
     held = _sent.get(path)
     if held is None or held[0] != context.applicationId:
-        held = _sent[path] = (context.applicationId, context.broadcast(tokenizer(path)))
+        held = _sent[path] = (context.applicationId, context.broadcast(_loaded.get(path) or WordTokenizer(path)))
+        trim()
     return held[1]
 
 

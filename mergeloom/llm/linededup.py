@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.runtime import new_path, remove, written
+from mergeloom.runtime import new_path, remove, trim_driver, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\f\r"
@@ -59,6 +59,7 @@ class LineRuns:
         name = f"spark_catalog.default.run_{path[-12:]}"
         rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).format("parquet").saveAsTable(name)
         self._paths[name] = path
+        trim_driver(self.spark)
         return name
 
     def _drop(self, name: str) -> None:

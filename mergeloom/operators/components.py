@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.runtime import new_path, remove
+from mergeloom.runtime import new_path, remove, trim_driver
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -44,6 +44,7 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
         for path in held[:-1]:
             remove(spark, path)
         del held[:-1]
+        trim_driver(spark)
         return spark.read.schema(df.schema).parquet(held[-1])
 
     current = kept(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())

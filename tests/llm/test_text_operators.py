@@ -344,6 +344,22 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in topk.top_products(same).collect()) == sorted(by_sql(topk.SQL, {"embeddings": same.drop("score")}))
 
 
+def test_driver_lets_go_of_memory(spark, docs, monkeypatch):
+    import public_tokenizers
+
+    from mergeloom import runtime
+
+    assert runtime.trim_driver(spark)  # by the JVM of these tests
+    monkeypatch.setattr(bpe, "_loaded", {})
+    monkeypatch.setattr(bpe, "_sent", {})
+    sent = bpe._compiled(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert bpe._loaded == {} and bpe._compiled(docs, public_tokenizers.path("word_bpe_49k.json")) is sent
+    trims = []
+    monkeypatch.setattr(runtime, "trim_driver", lambda s: trims.append(s))
+    runtime.forget(runtime.written(docs.limit(1), "one"))
+    assert len(trims) == 1
+
+
 SMALL = lm.Settings(slots_log2=12, page_log2=10, fan_in=2)
 
 
