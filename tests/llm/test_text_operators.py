@@ -525,6 +525,44 @@ def test_lm_against_plain_python():
         assert n == len(tokens) and bits == pytest.approx(total, rel=2e-4), text
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    rows = [(i, f"ab{i % 7} cd{i % 11} ef " * (1 + i % 5)) for i in range(60)] + [(1000, "zz " * 40)]
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    shared, slopes, passes = lm.learn_from, lm.fit_weights, []
+
+    def fit(parts, *rest):
+        passes.append(sorted(r.text for texts, _ in parts for r in texts.collect()))
+        return slopes(parts, *rest)
+
+    groups = []
+    monkeypatch.setattr(lm, "learn_from", lambda texts, *rest: groups.append(sorted(r.text for r in texts.collect())) or shared(texts, *rest))
+    monkeypatch.setattr(lm, "fit_weights", fit)
+    s = lm.replace(SMALL, weight_texts=5)
+    assert lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), s).count() == len(rows)
+    every = sorted(t for _, t in known)
+    assert groups == [every] and passes[-1] == every
+    # The sum over tasks is that of one.
+    parts = spark.createDataFrame([(i, bytearray(zlib.compress(np.full(3, i).tobytes()))) for i in range(9)], "task long, sums binary")
+    assert lm.summed(parts, np.int64, 2).tolist() == [36, 36, 36]
+
+
+def test_slopes():
+    raw, offsets = np.frombuffer(b"ab cd ab ef gh abab cd", np.uint8), np.array([0, 11, 22])
+    hashes = np.unique(lm.Texts(raw, offsets).distinct()[0])[:3]
+    code = lm.Code(np.append(hashes, [lm.END, lm.ESCAPE]), np.array([5, 4, 3, 2, 2]))
+    s = lm.Settings(slots_log2=8)
+    tables = lm.stored(np.random.default_rng(2).integers(0, 12, (lm.CONTEXTS, 2, 256)))
+    weights = np.random.default_rng(3).random((lm.GATES, lm.CONTEXTS))
+    want = np.zeros((lm.GATES, 1 + lm.CONTEXTS + lm.CONTEXTS**2))
+    t = lm.Tokens(raw, offsets, code, 1 << 40)
+    slots, bit, kind, *_ = lm.decisions(t, 0, len(t.doc), code, 8)
+    x, gate = lm.inputs(tables, slots, kind)
+    for i, g in enumerate(gate):
+        p = 1 / (1 + math.exp(-float(x[:, i] @ weights[g])))
+        want[g] += [1, *(x[:, i] * (bit[i] - p)), *(np.outer(x[:, i], x[:, i]) * p * (1 - p)).ravel()]
+    assert lm.slopes(iter([(raw, offsets)]), tables, code, weights, s) == pytest.approx(want, abs=1e-3)
+
+
 def test_lm_beats_its_base(spark):
     """On held-out texts of words from a few stems, in two languages, the model gives more probability than the unigram base."""
     rng = random.Random(12)
