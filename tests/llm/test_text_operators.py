@@ -525,6 +525,56 @@ def test_lm_against_plain_python():
         assert n == len(tokens) and bits == pytest.approx(total, rel=2e-4), text
 
 
+def coded_texts(n=60):
+    """Some texts, with a code in which rare words are spelled."""
+    texts = [r[1] or "" for r in corpus() if len(r[1] or "") < 3000][:n]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    hashes, _, which = lm.Texts(lm.LOWER[raw], offsets).distinct()
+    uses = np.bincount(which)
+    code = lm.Code(np.append(hashes[uses > 2], [lm.END, lm.ESCAPE]), np.append(uses[uses > 2], [len(texts), 40]))
+    code.groups = np.arange(lm.FREQUENT) % lm.GROUPS
+    return raw, offsets, code
+
+
+def test_lm_counts_a_node_of_a_context_once():
+    """op2's counts take each node of the code once a context and bit, with its uses, however often the texts meet it."""
+    raw, offsets, code = coded_texts()
+    t = lm.Tokens(raw, offsets, code, 1 << 40)
+    slots, bit, _, _, coded = lm.decisions(t, 0, len(t.doc), code, 24)
+    for k in (0, 2):
+        slot, bits, uses = lm.branches(t.path[: t.n_items], t.length[: t.n_items], t.item, t.context[k], 24)
+        met = Counter(zip(slots[k, :coded].tolist(), bit[:coded].tolist()))
+        got = Counter()
+        for a, b, n in zip(slot.tolist(), bits.tolist(), uses.tolist()):
+            got[a, b] += n
+        assert got == met and len(slot) < coded / 3
+        assert len(slot) <= 2 * len(code.hashes) * len(np.unique(t.context[k]))
+    counts, whole = lm.Slots(4, 4), lm.Slots(4, 4)
+    slot, bits, uses = np.array([5, 5, 6, 9, 5, 7]), np.array([1, 1, 0, 0, 0, 1]), np.array([40_000, 3, 70_000, 8, 2, 32_768])
+    counts.add_uses(2, slot, bits, uses)
+    whole.add_to(2, np.repeat(slot, uses), np.repeat(bits, uses))
+    assert counts.page(2, 0, 4).tolist() == whole.page(2, 0, 4).tolist() == [[0, 2, 70_000, 0], [0, 40_003, 0, 32_768]]
+    assert all(len(x) == 0 for x in lm.branches(code.codes[:0], code.lengths[:0], np.zeros(0, np.int64), np.zeros(0, np.uint32), 24))
+
+
+def test_lm_looks_up_few_contexts_once():
+    """What is looked up for each item is what every decision finds by itself."""
+    raw, offsets, code = coded_texts()
+    tables = lm.stored(np.random.default_rng(2).integers(0, 12, (lm.CONTEXTS, 2, 1 << 16)))
+    for block in (32, 1 << 40):
+        t = lm.Tokens(raw, offsets, code, block)
+        look = lm.Lookup(t, tables, 16)
+        assert len(look.alone) < len(t.doc) * 4
+        for lo, hi in ((0, len(t.doc)), (7, 900), (50, 51)):
+            slots, bit, kind, owner, coded = lm.decisions(t, lo, hi, code, 16)
+            x, gate = lm.inputs(tables, slots, kind)
+            d, got, got_gate = look(lo, hi)
+            assert (got.T == x).all() and (got_gate == gate).all() and (d.bit == bit).all() and d.coded == coded
+    one = [lm.text_bits(raw, offsets, code, tables, np.full((lm.GATES, lm.CONTEXTS), 0.3), lm.Settings(slots_log2=16, together=n, rate=0.05))[0] for n in (40, 1 << 13)]
+    assert one[0] == pytest.approx(one[1], rel=1e-5)
+
+
 def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     rows = [(i, f"ab{i % 7} cd{i % 11} ef " * (1 + i % 5)) for i in range(60)] + [(1000, "zz " * 40)]
     known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
